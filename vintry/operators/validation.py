@@ -235,9 +235,9 @@ def accepted_facts(normalized: DataFrame, *carried: str) -> DataFrame:
     return normalized.where(F.col("status") == ACCEPTED).select(*FACT_COLUMNS, *carried, "idx")
 
 
-def rejected_rows(normalized: DataFrame) -> DataFrame:
+def rejected_rows(normalized: DataFrame, *carried: str) -> DataFrame:
     return normalized.where(F.col("status") == REJECTED).select(
-        "cik", "concept", "idx", "reason", "source_fact"
+        "cik", "concept", "idx", "reason", "source_fact", *carried
     )
 
 

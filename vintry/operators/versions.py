@@ -35,12 +35,14 @@ def merge_facts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.unionByName(unseen(first, existing, "fact_id"))
 
 
-def load_ledger(accepted: DataFrame, rejected: DataFrame, inserted: DataFrame) -> DataFrame:
-    """Accepted, rejected and inserted rows per issuer in one aggregation."""
+def load_ledger(
+    accepted: DataFrame, rejected: DataFrame, inserted: DataFrame, by: str = "cik"
+) -> DataFrame:
+    """Accepted, rejected and inserted rows per issuer or snapshot in one aggregation."""
     outcomes = (("accepted", accepted), ("rejected", rejected), ("inserted", inserted))
-    tagged = [df.select("cik", F.lit(name).alias("outcome")) for name, df in outcomes]
+    tagged = [df.select(by, F.lit(name).alias("outcome")) for name, df in outcomes]
     both = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-    return both.groupBy("cik").agg(*[
+    return both.groupBy(by).agg(*[
         F.count_if(F.col("outcome") == name).alias(name) for name, _ in outcomes
     ])
 

@@ -5,50 +5,119 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(38, 4)
+TEXT, LONG, INT = T.StringType(), T.LongType(), T.IntegerType()
+DAY, INSTANT = T.DateType(), T.TimestampType()
 
-FACTS = T.StructType.fromDDL("""
-    fact_id STRING NOT NULL, cik BIGINT NOT NULL, metric STRING NOT NULL,
-    concept STRING NOT NULL, kind STRING NOT NULL, alias_priority INT NOT NULL,
-    unit STRING NOT NULL, period_start DATE, period_end DATE NOT NULL,
-    value DECIMAL(38,4) NOT NULL, accession STRING NOT NULL, form STRING NOT NULL,
-    filed DATE NOT NULL, fiscal_year_hint INT, fiscal_period_hint STRING,
-    first_observed TIMESTAMP NOT NULL, source_sha STRING NOT NULL,
-    bronze_path STRING NOT NULL, snapshot_id STRING NOT NULL
-""")
-
-ISSUERS = T.StructType.fromDDL(
-    "cik BIGINT NOT NULL, ticker STRING NOT NULL, sector STRING NOT NULL, headquarters STRING NOT NULL"
-)
-
-ISSUER_HISTORY = T.StructType.fromDDL("""
-    issuer_key STRING NOT NULL, cik BIGINT NOT NULL, name STRING NOT NULL,
-    ticker STRING NOT NULL, sector STRING NOT NULL, headquarters STRING NOT NULL,
-    attribute_hash STRING NOT NULL, valid_from TIMESTAMP NOT NULL, valid_to TIMESTAMP
-""")
-
-SNAPSHOTS = T.StructType.fromDDL("""
-    snapshot_id STRING NOT NULL, cik BIGINT NOT NULL, source_sha STRING NOT NULL,
-    source_url STRING NOT NULL, bronze_path STRING NOT NULL, silver_path STRING NOT NULL,
-    ingested_at TIMESTAMP NOT NULL, accepted_count BIGINT NOT NULL,
-    rejected_count BIGINT NOT NULL, inserted_count BIGINT NOT NULL
-""")
-
-SOURCE_MANIFEST = T.StructType.fromDDL(
-    "cik BIGINT NOT NULL, url STRING, file STRING NOT NULL, sha256 STRING NOT NULL"
-)
-
-RELEASE_MANIFEST = T.StructType.fromDDL("""
-    run_id STRING NOT NULL, status STRING NOT NULL, published_at TIMESTAMP NOT NULL,
-    filing_date_cutoff DATE NOT NULL, model_version STRING NOT NULL,
-    fact_runs ARRAY<STRING> NOT NULL, history_run STRING NOT NULL,
-    total_facts BIGINT NOT NULL, annual_periods BIGINT NOT NULL, revisions BIGINT NOT NULL,
-    checks_passed BIGINT NOT NULL
-""")
-
-RUN_REPORT = T.StructType.fromDDL("""
-    run_id STRING NOT NULL, status STRING NOT NULL, mode STRING NOT NULL,
-    started_at TIMESTAMP NOT NULL,
-    filing_date_cutoff DATE, snapshots_loaded BIGINT, snapshots_skipped BIGINT,
-    facts_inserted BIGINT, rejected_rows BIGINT, model_version STRING,
-    published_run_id STRING, elapsed_seconds DOUBLE, error STRING
-""")
+
+def required(name: str, kind: T.DataType) -> T.StructField:
+    return T.StructField(name, kind, nullable=False)
+
+
+def optional(name: str, kind: T.DataType) -> T.StructField:
+    return T.StructField(name, kind, nullable=True)
+
+
+FACTS = T.StructType([
+    required("fact_id", TEXT),
+    required("cik", LONG),
+    required("metric", TEXT),
+    required("concept", TEXT),
+    required("kind", TEXT),
+    required("alias_priority", INT),
+    required("unit", TEXT),
+    optional("period_start", DAY),
+    required("period_end", DAY),
+    required("value", MONEY),
+    required("accession", TEXT),
+    required("form", TEXT),
+    required("filed", DAY),
+    optional("fiscal_year_hint", INT),
+    optional("fiscal_period_hint", TEXT),
+    required("first_observed", INSTANT),
+    required("source_sha", TEXT),
+    required("bronze_path", TEXT),
+    required("snapshot_id", TEXT),
+])
+
+ISSUERS = T.StructType([
+    required("cik", LONG),
+    required("ticker", TEXT),
+    required("sector", TEXT),
+    required("headquarters", TEXT),
+])
+
+ISSUER_HISTORY = T.StructType([
+    required("issuer_key", TEXT),
+    required("cik", LONG),
+    required("name", TEXT),
+    required("ticker", TEXT),
+    required("sector", TEXT),
+    required("headquarters", TEXT),
+    required("attribute_hash", TEXT),
+    required("valid_from", INSTANT),
+    optional("valid_to", INSTANT),
+])
+
+SNAPSHOTS = T.StructType([
+    required("snapshot_id", TEXT),
+    required("cik", LONG),
+    required("source_sha", TEXT),
+    required("source_url", TEXT),
+    required("bronze_path", TEXT),
+    required("silver_path", TEXT),
+    required("ingested_at", INSTANT),
+    required("accepted_count", LONG),
+    required("rejected_count", LONG),
+    required("inserted_count", LONG),
+])
+
+SOURCE_MANIFEST = T.StructType([
+    required("cik", LONG),
+    optional("url", TEXT),
+    required("file", TEXT),
+    required("sha256", TEXT),
+])
+
+BRONZE = T.StructType([
+    required("cik", LONG),
+    required("source_sha", TEXT),
+    required("content", T.BinaryType()),
+])
+
+RELEASE_MANIFEST = T.StructType([
+    required("run_id", TEXT),
+    required("status", TEXT),
+    required("published_at", INSTANT),
+    required("filing_date_cutoff", DAY),
+    required("model_version", TEXT),
+    required("fact_runs", T.ArrayType(TEXT)),
+    required("history_run", TEXT),
+    required("total_facts", LONG),
+    required("annual_periods", LONG),
+    required("revisions", LONG),
+    required("checks_passed", LONG),
+])
+
+RUN_REPORT = T.StructType([
+    required("run_id", TEXT),
+    required("status", TEXT),
+    required("mode", TEXT),
+    required("started_at", INSTANT),
+    optional("filing_date_cutoff", DAY),
+    optional("snapshots_loaded", LONG),
+    optional("snapshots_skipped", LONG),
+    optional("facts_inserted", LONG),
+    optional("rejected_rows", LONG),
+    optional("model_version", TEXT),
+    optional("published_run_id", TEXT),
+    optional("elapsed_seconds", T.DoubleType()),
+    optional("error", TEXT),
+])
+
+# Folder names of partitioned tables.
+RUN = optional("run_id", TEXT)
+BUCKET = optional("cik_bucket", INT)
+
+
+def with_folders(schema: T.StructType, *folders: T.StructField) -> T.StructType:
+    return T.StructType([*schema.fields, *folders])
