@@ -165,10 +165,15 @@ def test_broken_envelopes(spark, payload):
         6: ({**payload, "entityName": 5}, "missing_entity_name"),
         7: ({**payload, "facts": {"us-gaap": []}}, "concepts_not_a_map"),
         8: ({**payload, "facts": {}}, "concepts_not_a_map"),
-        9: (broken(lambda p: p["facts"]["us-gaap"].update(Assets={})), "units_not_a_map"),
-        10: (broken(lambda p: p["facts"]["us-gaap"].update(Assets={"units": []})), "units_not_a_map"),
-        11: (broken(lambda p: p["facts"]["us-gaap"].update(Assets={"units": {"USD": 5}})), "unit_not_an_array"),
+        9: (broken(lambda p: p["facts"]["us-gaap"].update(Assets={})), "units_not_arrays"),
+        10: (broken(lambda p: p["facts"]["us-gaap"].update(Assets={"units": []})), "units_not_arrays"),
+        11: (broken(lambda p: p["facts"]["us-gaap"].update(Assets={"units": {"USD": 5}})), "units_not_arrays"),
         12: (payload, None),
+        13: (json.dumps({**payload, "cik": 13}) + " trailing", "unreadable_json"),
+        14: (json.dumps({**payload, "cik": 14}) + ',{"cik": 14}', "unreadable_json"),
+        15: (json.dumps([{**payload, "cik": 15}]), "unreadable_json"),
+        16: ("", "unreadable_json"),
+        17: (json.dumps({**payload, "cik": 17})[:-1], "unreadable_json"),
     }
     normalized = run(spark, {cik: p for cik, (p, _) in cases.items()})
     errors = {r["cik"]: r["document_error"] for r in V.document_errors(normalized).collect()}

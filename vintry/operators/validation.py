@@ -39,15 +39,21 @@ FACT_COLUMNS = [
     "fiscal_year_hint", "fiscal_period_hint",
 ]
 
-_MAP = "map<string,variant>"
-
-
-def _member(source: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(source, path, kind)
+# A document as far as it is read. Observations stay VARIANT, each with only its own
+# keys: numbers keep all their digits, and rows do not carry the document's dictionary.
+_DOCUMENT = """
+    array<struct<cik: variant, entityName: variant,
+      facts: struct<`us-gaap`: map<string, struct<units: map<string, array<variant>>>>>>>
+"""
+# One cast reads all fields of an observation. Types that a rule asks for stay VARIANT.
+_OBSERVATION = """
+    struct<val: variant, `end`: string, start: string, filed: string, accn: string,
+      form: variant, fy: variant, fp: string>
+"""
 
 
-def _type_of(source: Column, path: str) -> Column:
-    return F.schema_of_variant(_member(source, path, "variant"))
+def _scalar(source: Column, kind: str) -> Column:
+    return F.try_variant_get(source, "$", kind)
 
 
 def _first_failure(*rules: tuple[str, Column]) -> Column:
@@ -58,21 +64,27 @@ def _first_failure(*rules: tuple[str, Column]) -> Column:
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:
-    """Add ``entity_name``, ``concepts`` and ``document_error`` to (cik, content, ...)."""
-    doc = F.col("doc")
-    parsed = documents.withColumn("doc", F.try_parse_json("content"))
-    concepts = _member(doc, "$.facts['us-gaap']", _MAP)
-    name = _member(doc, "$.entityName", "string")
+    """Add ``entity_name``, ``concepts`` and ``document_error`` to (cik, content, ...).
+
+    The text is read as the only element of an array, so anything after the document
+    makes it unreadable instead of being ignored.
+    """
+    listed = F.from_json(F.concat(F.lit("["), "content", F.lit("]")), _DOCUMENT)
+    parsed = documents.withColumn("listed", listed).withColumn(
+        "doc", F.when(F.size("listed") == 1, F.get("listed", F.lit(0)))
+    )
+    cik, entity = F.col("doc.cik"), F.col("doc.entityName")
+    concepts = F.col("doc.facts.us-gaap")
+    name = _scalar(entity, "string")
     error = _first_failure(
-        ("unreadable_json", doc.isNotNull()),
+        ("unreadable_json", F.col("doc").isNotNull()),
         (
             "cik_mismatch",
-            (_type_of(doc, "$.cik") == "BIGINT")
-            & (_member(doc, "$.cik", "bigint") == F.col("cik")),
+            (F.schema_of_variant(cik) == "BIGINT") & (_scalar(cik, "bigint") == F.col("cik")),
         ),
         (
             "missing_entity_name",
-            (_type_of(doc, "$.entityName") == "STRING") & name.rlike(r"(?U)\S"),
+            (F.schema_of_variant(entity) == "STRING") & name.rlike(r"(?U)\S"),
         ),
         ("concepts_not_a_map", concepts.isNotNull()),
     )
@@ -96,34 +108,18 @@ def flatten_documents(documents: DataFrame, concepts=CONCEPTS) -> DataFrame:
     by_concept = parsed.select(*carried, F.explode_outer(readable).alias("concept", "definition"))
 
     known = F.broadcast(concept_table(documents.sparkSession, concepts))
-    carried = [*carried, "concept", "metric", "kind", "alias_priority"]
-    mapped = by_concept.join(known, "concept", "left").withColumn(
-        "units", F.when(F.col("metric").isNotNull(), _member(F.col("definition"), "$.units", _MAP))
+    mapped = by_concept.join(known, "concept", "left")
+    is_known, units = F.col("metric").isNotNull(), F.col("definition.units")
+    broken = F.when(is_known & units.isNull(), F.lit("units_not_arrays"))
+    carried = [*[c for c in carried if c != "document_error"],
+               "concept", "metric", "kind", "alias_priority"]
+    by_unit = mapped.select(
+        *carried, F.coalesce("document_error", broken).alias("document_error"),
+        F.explode_outer(F.when(is_known, units)).alias("unit", "values"),
     )
-    mapped = mapped.withColumn(
-        "document_error",
-        F.coalesce(
-            "document_error",
-            F.when(
-                F.col("metric").isNotNull() & F.col("units").isNull(), F.lit("units_not_a_map")
-            ),
-        ),
-    )
-    by_unit = mapped.select(*carried, F.explode_outer("units").alias("unit", "held"))
-    values = by_unit.withColumn("values", _member(F.col("held"), "$", "array<variant>"))
-    values = values.withColumn(
-        "document_error",
-        F.coalesce(
-            "document_error",
-            F.when(
-                F.col("unit").isNotNull() & F.col("values").isNull(), F.lit("unit_not_an_array")
-            ),
-        ),
-    )
-    carried = [*carried, "unit"]
     reported = F.when(F.col("unit") == REPORTING_UNIT, F.col("values"))
-    rows = values.select(
-        *carried,
+    rows = by_unit.select(
+        *carried, "document_error", "unit",
         F.when(F.col("unit") != REPORTING_UNIT, F.size("values")).alias("unread"),
         F.posexplode_outer(reported).alias("idx", "observation"),
     )
@@ -143,26 +139,24 @@ def _iso_date(text: Column) -> Column:
 
 def _typed(rows: DataFrame) -> DataFrame:
     """Read the fields of each observation; a bad field becomes NULL, never an error."""
-    o = F.col("observation")
-    keys = F.map_keys(_member(o, "$", _MAP))
-    number = _member(o, "$.val", "string")
-    # 30 integer digits and 8 decimals: NULL exactly where the amount is out of range.
-    amount = number.try_cast("decimal(38,8)")
-    return rows.withColumns({
-        "keys": keys,
-        "period_end": _iso_date(_member(o, "$.end", "string")),
-        "filed": _iso_date(_member(o, "$.filed", "string")),
-        "period_start": F.when(
-            F.col("kind") == DURATION, _iso_date(_member(o, "$.start", "string"))
-        ),
-        "accession": _member(o, "$.accn", "string"),
-        "form": F.when(_type_of(o, "$.form") == "STRING", _member(o, "$.form", "string")),
-        "number_type": _type_of(o, "$.val"),
+    read = rows.withColumn("o", _scalar(F.col("observation"), _OBSERVATION))
+    o = {name: F.col(f"o.{name}") for name in
+         ("val", "end", "start", "filed", "accn", "form", "fy", "fp")}
+    number = _scalar(o["val"], "string")
+    return read.withColumns({
+        "is_object": F.col("o").isNotNull(),
+        "period_end": _iso_date(o["end"]),
+        "filed": _iso_date(o["filed"]),
+        "period_start": F.when(F.col("kind") == DURATION, _iso_date(o["start"])),
+        "accession": o["accn"],
+        "form": F.when(F.schema_of_variant(o["form"]) == "STRING", _scalar(o["form"], "string")),
+        "number_type": F.schema_of_variant(o["val"]),
         "number_text": number,
-        "amount": amount,
-        "fiscal_year_hint": _member(o, "$.fy", "int"),
-        "fiscal_period_hint": _member(o, "$.fp", "string"),
-    })
+        # 30 integer digits and 8 decimals: NULL exactly where the amount is out of range.
+        "amount": number.try_cast("decimal(38,8)"),
+        "fiscal_year_hint": _scalar(o["fy"], "int"),
+        "fiscal_period_hint": o["fp"],
+    }).drop("o")
 
 
 def _fits_four_decimals() -> Column:
@@ -181,7 +175,7 @@ def _reject_reason() -> Column:
     numeric = F.col("number_type").rlike(r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z")
     signed = ~F.col("metric").isin(*NONNEGATIVE_METRICS)
     return _first_failure(
-        ("not_an_object", F.col("keys").isNotNull()),
+        ("not_an_object", F.col("is_object")),
         ("end_not_a_date", end.isNotNull()),
         ("filed_not_a_date", filed.isNotNull()),
         ("start_not_a_date", ~duration | start.isNotNull()),
@@ -203,7 +197,7 @@ def validate(rows: DataFrame, min_year: int = DEFAULT_MIN_YEAR) -> DataFrame:
     never counted as a rejection.
     """
     typed = _typed(rows)
-    old = F.col("keys").isNotNull() & (F.year("period_end") < min_year)
+    old = F.col("is_object") & (F.year("period_end") < min_year)
     status = (
         F.when(F.col("document_error").isNotNull(), F.lit(DOCUMENT_ERROR))
         .when(F.col("metric").isNull(), F.lit(UNKNOWN_CONCEPT))
@@ -213,8 +207,16 @@ def validate(rows: DataFrame, min_year: int = DEFAULT_MIN_YEAR) -> DataFrame:
         .when(F.col("reason").isNotNull(), F.lit(REJECTED))
         .otherwise(F.lit(ACCEPTED))
     )
-    judged = typed.withColumn("reason", _reject_reason()).withColumn("status", status)
-    extra = F.array_except("keys", F.array(*[F.lit(k) for k in OBSERVATION_KEYS]))
+    outcome = F.struct(F.col("reason"), status.alias("status"))
+    # Through a one-row generator: a later filter on the status stays above it. Pushed
+    # into the projections it would parse every field again for each rule.
+    judged = (
+        typed.withColumn("reason", _reject_reason())
+        .withColumn("outcome", outcome).drop("reason")
+        .select("*", F.inline(F.array("outcome"))).drop("outcome")
+    )
+    keys = F.map_keys(_scalar(F.col("observation"), "map<string,variant>"))
+    extra = F.array_except(keys, F.array(*[F.lit(k) for k in OBSERVATION_KEYS]))
     accepted, rejected = F.col("status") == ACCEPTED, F.col("status") == REJECTED
     return (
         judged.withColumn("extra_keys", F.when(F.size(extra) > 0, extra))
@@ -222,7 +224,7 @@ def validate(rows: DataFrame, min_year: int = DEFAULT_MIN_YEAR) -> DataFrame:
         .withColumn("value", F.when(accepted, F.col("amount").cast("decimal(38,4)")))
         .withColumn("source_fact", F.when(rejected, F.to_json("observation")))
         .withColumn("fact_id", F.when(accepted, fact_identity()))
-        .drop("keys", "number_type", "number_text", "amount", "observation")
+        .drop("is_object", "number_type", "number_text", "amount", "observation")
     )
 
 
