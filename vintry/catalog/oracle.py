@@ -11,6 +11,7 @@ PERIOD = "DATE '1997-12-31'"
 URL = "concat('https://www.sec.gov/Archives/edgar/data/', cik, '/', replace(accession, '-', ''), '/', accession, '-index.html')"
 ANNUAL = "form IN ('10-K', '10-K/A') AND (kind = 'instant' OR date_diff('day', period_start, period_end) BETWEEN 329 AND 399)"
 
+NONNEGATIVE = ", ".join(f"'{m}'" for m in NONNEGATIVE_METRICS)
 METRIC_CASE = "CASE mi " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(METRICS)) + " END"
 
 
@@ -152,11 +153,11 @@ CTES = {
           CASE WHEN r % 101 = 15 THEN 'Other' || concept ELSE concept END AS doc_concept,
           CASE WHEN l_tax >= 0.07 THEN 'EUR' ELSE 'USD' END AS doc_unit
         FROM obs""",
-    "judged": """
+    "judged": f"""
         SELECT *, CASE
             WHEN f = 15 THEN 'unknown_concept'
             WHEN doc_unit <> 'USD' THEN 'other_unit'
-            WHEN f NOT IN (1, 2) AND y < {min_year} THEN 'old_period'
+            WHEN f NOT IN (1, 2) AND y < 1994 THEN 'old_period'
             WHEN reason IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS status
         FROM (SELECT *, CASE
             WHEN f = 1 THEN 'not_an_object'
@@ -170,7 +171,7 @@ CTES = {
             WHEN f IN (8, 9, 13) THEN 'value_not_numeric'
             WHEN f = 10 THEN 'value_out_of_range'
             WHEN f = 11 THEN 'too_many_decimals'
-            WHEN f = 12 AND metric IN ({nonnegative}) THEN 'negative_value' END AS reason
+            WHEN f = 12 AND metric IN ({NONNEGATIVE}) THEN 'negative_value' END AS reason
           FROM docs)""",
     "doc_facts": """
         SELECT cik, metric, concept, kind, alias_priority, unit, period_start, period_end,
@@ -218,19 +219,8 @@ def _closure(names) -> list[str]:
     return found
 
 
-def sql(body: str, *names: str, min_year: int = 1994) -> str:
-    if not names:
-        return body
-    filled = {
-        "min_year": str(min_year),
-        "nonnegative": ", ".join(f"'{m}'" for m in NONNEGATIVE_METRICS),
-    }
-    parts = []
-    for name in _closure(names):
-        text = CTES[name]
-        if name == "judged":
-            text = text.replace("{min_year}", filled["min_year"]).replace("{nonnegative}", filled["nonnegative"])
-        parts.append(f"{name} AS ({text})")
+def sql(body: str, *names: str) -> str:
+    parts = [f"{name} AS ({CTES[name]})" for name in _closure(names)]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
@@ -395,10 +385,10 @@ def oracle_sql() -> dict[str, str]:
             "SELECT reason, count(*) AS n FROM judged WHERE status = 'rejected' GROUP BY reason", "judged"),
         "telemetry": sql(_telemetry(), "judged"),
         "empty_accept_gate": sql("""
-            SELECT cik, count(*) FILTER (WHERE status = 'accepted') AS accepted,
-              count(*) FILTER (WHERE status = 'rejected') AS rejected
-            FROM judged GROUP BY cik HAVING count(*) FILTER (WHERE status = 'accepted') = 0""",
-            "judged", min_year=2001),
+            SELECT cik, CAST(0 AS BIGINT) AS accepted,
+              count(*) FILTER (WHERE status IN ('accepted', 'rejected')) AS rejected
+            FROM judged GROUP BY cik
+            HAVING cik % 4 = 1 OR count(*) FILTER (WHERE status = 'accepted') = 0""", "judged"),
         "reject_rate": sql("""
             SELECT *, round(CAST(rejected AS DOUBLE) / (accepted + rejected), 6) AS reject_rate,
               CAST(rejected AS DOUBLE) / (accepted + rejected) > 0.005 AS over_limit

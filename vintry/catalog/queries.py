@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintry.catalog import standin as S
@@ -31,7 +31,6 @@ from vintry.sources.documents import content_sha, verify_checksums
 
 SEEN = S.SEEN.replace(tzinfo=timezone.utc)
 MIN_YEAR = 1994
-LATE_MIN_YEAR = 2001
 TOP_K = 100
 CANONICAL_COLUMNS = ["fact_id", "cik", "metric", "period_end", "value", "accession", "filed"]
 RATIOS = ["net_margin", "operating_margin", "current_ratio", "liabilities_to_assets", "cash_flow_margin"]
@@ -61,9 +60,14 @@ def annual(spark, d) -> DataFrame:
     return A.annual_financials(canonical(spark, d), current_issuers(spark, d), S.AS_OF)
 
 
-def normalized(spark, d, min_year=MIN_YEAR) -> DataFrame:
+def normalized(spark, d) -> DataFrame:
     docs = S.documents(spark, d, faults=True)
-    return V.normalize(docs, S.STANDIN_CONCEPTS, min_year)
+    return V.normalize(docs, S.STANDIN_CONCEPTS, MIN_YEAR)
+
+
+def copies(number) -> Column:
+    """Copy numbers of a row: every fiftieth row comes twice."""
+    return F.when(number % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
 
 
 # Sources and sinks
@@ -219,19 +223,24 @@ def contract_reject_counts(spark, d):
 @query
 def telemetry(spark, d):
     docs = S.documents(spark, d, faults=True)
-    repeated = docs.unionByName(docs.where(F.col("r") % 50 == 0))
+    repeated = docs.withColumn("copy", F.explode(copies(F.col("r")))).drop("copy")
     return V.drift_telemetry(V.normalize(repeated, S.STANDIN_CONCEPTS, MIN_YEAR))
 
 
 @query
 def empty_accept_gate(spark, d):
-    return V.accepted_nothing(normalized(spark, d, LATE_MIN_YEAR))
+    """Every fourth issuer names its amounts differently, so none of them is accepted."""
+    docs = S.documents(spark, d, faults=True)
+    renamed = F.replace("content", F.lit('"val":'), F.lit('"amount":'))
+    content = F.when(F.col("cik") % 4 == 1, renamed).otherwise(F.col("content"))
+    return V.accepted_nothing(
+        V.normalize(docs.withColumn("content", content), S.STANDIN_CONCEPTS, MIN_YEAR)
+    )
 
 
 @query
 def reject_rate(spark, d):
-    rows = normalized(spark, d)
-    rates = V.reject_rates(V.accepted_facts(rows), V.rejected_rows(rows))
+    rates = V.reject_rates(normalized(spark, d))
     over = F.col("reject_rate") > MAX_REJECT_RATE
     return rounded(rates.withColumn("over_limit", over), "reject_rate")
 
@@ -239,8 +248,9 @@ def reject_rate(spark, d):
 @query
 def dedupe_facts(spark, d):
     obs = S.observations(spark, d).withColumn("fact_id", fact_identity())
-    again = obs.where(F.col("l_orderkey") % 50 == 0).withColumn("idx", F.col("idx") + 100)
-    kept = R.keep_first(obs.unionByName(again), "fact_id", "idx")
+    repeated = obs.withColumn("copy", F.explode(copies(F.col("l_orderkey"))))
+    later = repeated.withColumn("idx", F.col("idx") + 100 * F.col("copy"))
+    kept = R.keep_first(later, "fact_id", "idx")
     return kept.select("fact_id", "cik", "idx", "value")
 
 

@@ -35,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def columns(spark: SparkSession, sf_dir: str, name: str, *names: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name).select(*names))
+    """Some columns of a table, the first of which is a key."""
+    return spread(table(spark, sf_dir, name).select(*names), names[0])
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ an explode; the only join is with the concept map, which is code-sized.
 from __future__ import annotations
 
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -264,49 +263,53 @@ def accepted_nothing(normalized: DataFrame) -> DataFrame:
     )
 
 
-def reject_rates(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rejected share of the supported facts per issuer, after duplicates are dropped."""
-    tallies = (
-        accepted.groupBy("cik").agg(F.count("*").alias("accepted"), F.lit(0).cast("bigint").alias("rejected"))
-        .unionByName(
-            rejected.groupBy("cik").agg(F.lit(0).cast("bigint").alias("accepted"), F.count("*").alias("rejected"))
-        )
+def reject_rates(normalized: DataFrame) -> DataFrame:
+    """Rejected share of the supported facts per issuer; copies of one fact count once."""
+    distinct = (
+        normalized.where(F.col("status").isin(ACCEPTED, REJECTED))
+        .groupBy("cik", "status", "fact_id").agg(F.count("*").alias("n"))
     )
-    both = tallies.groupBy("cik").agg(
-        F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")
+    tallies = distinct.groupBy("cik").agg(
+        F.count_if(F.col("status") == ACCEPTED).alias("accepted"),
+        F.coalesce(F.sum(F.when(F.col("status") == REJECTED, F.col("n"))), F.lit(0)).alias("rejected"),
     )
     rate = F.col("rejected").cast("double") / (F.col("accepted") + F.col("rejected"))
-    return both.withColumn("reject_rate", rate)
+    return tallies.withColumn("reject_rate", rate)
 
 
 def drift_telemetry(normalized: DataFrame) -> DataFrame:
-    """What the contract did not expect, as (cik, signal, name, n) rows.
+    """What the contract did not expect, as (cik, signal, name, n) rows; one pass.
 
     Long rows rather than one array per issuer: an issuer with very many unknown
-    names is then still many small groups.
+    names is then still many small groups. Copies of a fact are first counted per
+    fact, where map tasks combine them, then added up.
     """
-    counted = normalized.where(
-        F.col("status").isin(UNKNOWN_CONCEPT, OTHER_UNIT, OLD_PERIOD)
-    ).select(
-        "cik",
-        F.col("status").alias("signal"),
-        F.when(F.col("status") == UNKNOWN_CONCEPT, F.col("concept")).otherwise(F.lit("")).alias("name"),
-        F.col("weight").alias("n"),
+
+    def signal(kind: Column, name: Column, n: Column) -> Column:
+        return F.struct(kind.alias("signal"), name.alias("name"), n.cast("bigint").alias("n"))
+
+    status, none = F.col("status"), F.lit("")
+    unread = F.when(
+        status.isin(UNKNOWN_CONCEPT, OTHER_UNIT, OLD_PERIOD),
+        signal(
+            status, F.when(status == UNKNOWN_CONCEPT, F.col("concept")).otherwise(none),
+            F.col("weight"),
+        ),
     )
-    extra = normalized.select("cik", F.explode("extra_keys").alias("name")).select(
-        "cik", F.lit("extra_key").alias("signal"), "name", F.lit(1).cast("bigint").alias("n")
+    copy = F.when(status == ACCEPTED, signal(F.lit("copy"), F.col("fact_id"), F.lit(1)))
+    extra = F.transform(
+        F.coalesce("extra_keys", F.array().cast("array<string>")),
+        lambda key: signal(F.lit("extra_key"), key, F.lit(1)),
     )
-    repeated = (
-        normalized.where(F.col("status") == ACCEPTED)
-        .groupBy("cik", "fact_id").agg(F.count("*").alias("copies"))
-        .where("copies > 1")
-        .select(
-            "cik", F.lit("duplicate_row").alias("signal"), F.lit("").alias("name"),
-            (F.col("copies") - 1).alias("n"),
-        )
+    seen = normalized.select(
+        "cik", F.inline(F.concat(F.array_compact(F.array(unread, copy)), extra))
     )
-    return (
-        reduce(DataFrame.unionByName, [counted, extra, repeated])
-        .groupBy("cik", "signal", "name")
-        .agg(F.sum("n").alias("n"))
+    counted = seen.groupBy("cik", "signal", "name").agg(F.sum("n").alias("n"))
+    is_copy = F.col("signal") == "copy"
+    named = counted.select(
+        "cik",
+        F.when(is_copy, F.lit("duplicate_row")).otherwise(F.col("signal")).alias("signal"),
+        F.when(is_copy, none).otherwise(F.col("name")).alias("name"),
+        F.when(is_copy, F.col("n") - 1).otherwise(F.col("n")).alias("n"),
     )
+    return named.where("n > 0").groupBy("cik", "signal", "name").agg(F.sum("n").alias("n"))

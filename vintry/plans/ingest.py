@@ -152,6 +152,8 @@ def ingest(
     )
     _stop_if_any(V.document_errors(staged), "source envelope violates the contract")
     _stop_if_any(V.accepted_nothing(staged), "no supported fact survived the contract")
+    rates = V.reject_rates(staged)
+    _stop_if_any(rates.where(F.col("reject_rate") > max_reject_rate), "too many rejected rows")
 
     unique = keep_first(
         V.accepted_facts(staged, "source_sha", "snapshot_id"), "fact_id", "idx"
@@ -163,9 +165,6 @@ def ingest(
         versions.select(*schemas.FACTS.names), "silver", f"run_id={run_id}"
     )
     silver = store.written(spark, schemas.FACTS, "silver", f"run_id={run_id}")
-    rates = V.reject_rates(silver, rejected)
-    _stop_if_any(rates.where(F.col("reject_rate") > max_reject_rate), "too many rejected rows")
-
     # At most store.buckets numbers: they prune the stored side to the touched folders.
     touched = [r["cik_bucket"] for r in silver.select("cik_bucket").distinct().collect()]
     known = store.facts(spark, known_runs, touched)
