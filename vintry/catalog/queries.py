@@ -52,12 +52,35 @@ def canonical(spark, d, **cutoffs) -> DataFrame:
     return canonical_facts(S.facts(spark, d), S.AS_OF, **cutoffs)
 
 
+class Marts:
+    """The tables of one release, each derived once and shared by its readers."""
+
+    def __init__(self, spark, d):
+        self.facts = S.facts(spark, d)
+        self.history = S.issuer_history(spark, d)
+        self.issuers = dim_issuer(self.history)
+        self.canonical = canonical_facts(self.facts, S.AS_OF)
+        self.annual = A.annual_financials(self.canonical, self.issuers, S.AS_OF)
+
+    def trends(self) -> DataFrame:
+        return A.company_trends(self.annual, self.issuers)
+
+    def revisions(self) -> DataFrame:
+        return filing_revisions(self.facts, S.AS_OF)
+
+    def checks(self) -> DataFrame:
+        return C.check_summary(
+            self.facts, self.history, self.canonical, self.issuers, self.annual,
+            self.trends(), self.revisions(), S.AS_OF,
+        )
+
+
 def current_issuers(spark, d) -> DataFrame:
     return dim_issuer(S.issuer_history(spark, d))
 
 
 def annual(spark, d) -> DataFrame:
-    return A.annual_financials(canonical(spark, d), current_issuers(spark, d), S.AS_OF)
+    return Marts(spark, d).annual
 
 
 def normalized(spark, d) -> DataFrame:
@@ -285,7 +308,9 @@ def period_evidence(spark, d):
 
 @query
 def selection_parity_query(spark, d):
-    return selection_parity(canonical(spark, d), canonical(spark, d, observed_before=SEEN))
+    facts = S.facts(spark, d)
+    seen = canonical_facts(facts, S.AS_OF, observed_before=SEEN)
+    return selection_parity(canonical_facts(facts, S.AS_OF), seen)
 
 
 @query
@@ -321,7 +346,7 @@ def annual_history(spark, d):
 
 @query
 def company_trends(spark, d):
-    trends = A.company_trends(annual(spark, d), current_issuers(spark, d))
+    trends = Marts(spark, d).trends()
     return rounded(trends, *RATIOS, "revenue_growth_yoy")
 
 
@@ -336,7 +361,7 @@ def revenue_growth_yoy(spark, d):
 
 @query
 def review_flags(spark, d):
-    trends = A.company_trends(annual(spark, d), current_issuers(spark, d))
+    trends = Marts(spark, d).trends()
     return trends.select(
         "annual_key", "liquidity_review", "loss_review", "cash_flow_review", "incomplete_metrics"
     )
@@ -440,40 +465,45 @@ def fact_lineage_query(spark, d):
 # Quality
 
 
+def _on_annual(report, spark, d) -> DataFrame:
+    marts = Marts(spark, d)
+    return report(marts.annual, marts.issuers)
+
+
 @query
 def coverage_by_issuer(spark, d):
-    return Q.coverage_by_issuer(annual(spark, d), current_issuers(spark, d))
+    return _on_annual(Q.coverage_by_issuer, spark, d)
 
 
 @query
 def missing_by_metric(spark, d):
-    return Q.missing_by_metric(annual(spark, d), current_issuers(spark, d))
+    return _on_annual(Q.missing_by_metric, spark, d)
 
 
 @query
 def missing_metrics(spark, d):
-    rows = Q.missing_metric_list(annual(spark, d), current_issuers(spark, d))
+    rows = _on_annual(Q.missing_metric_list, spark, d)
     return rows.withColumn("missing_metrics", F.array_join("missing_metrics", ","))
 
 
 @query
 def incomplete_periods(spark, d):
-    return Q.incomplete_periods(annual(spark, d), current_issuers(spark, d))
+    return _on_annual(Q.incomplete_periods, spark, d)
 
 
 @query
 def balance_warnings(spark, d):
-    return Q.balance_warnings(annual(spark, d), current_issuers(spark, d))
+    return _on_annual(Q.balance_warnings, spark, d)
 
 
 @query
 def quality_summary(spark, d):
-    return Q.quality_summary(annual(spark, d), current_issuers(spark, d))
+    return _on_annual(Q.quality_summary, spark, d)
 
 
 @query
 def coverage_pct(spark, d):
-    return rounded(Q.coverage_percent(annual(spark, d), current_issuers(spark, d)), "coverage")
+    return rounded(_on_annual(Q.coverage_percent, spark, d), "coverage")
 
 
 @query
@@ -483,28 +513,22 @@ def coverage_gate(spark, d):
     return Q.coverage_gate(A.annual_financials(early, issuers, S.EARLIER), issuers)
 
 
-def _revisions(spark, d):
-    return filing_revisions(S.facts(spark, d), S.AS_OF)
-
-
 @query
 def release_totals(spark, d):
-    return Q.release_totals(S.facts(spark, d), annual(spark, d), _revisions(spark, d))
+    marts = Marts(spark, d)
+    return Q.release_totals(marts.facts, marts.annual, marts.revisions())
 
 
 @query
 def check_summary(spark, d):
-    facts, issuers, yearly = S.facts(spark, d), current_issuers(spark, d), annual(spark, d)
-    return C.check_summary(
-        facts, S.issuer_history(spark, d), canonical(spark, d), issuers, yearly,
-        A.company_trends(yearly, issuers), _revisions(spark, d), S.AS_OF,
-    )
+    return Marts(spark, d).checks()
 
 
 @query
 def release_gauges(spark, d):
-    summary = Q.quality_summary(annual(spark, d), current_issuers(spark, d))
-    return Q.release_gauges(summary, S.facts(spark, d), check_summary(spark, d))
+    marts = Marts(spark, d)
+    summary = Q.quality_summary(marts.annual, marts.issuers)
+    return Q.release_gauges(summary, marts.facts, marts.checks())
 
 
 @query
@@ -519,8 +543,9 @@ def check_not_null(spark, d):
 
 @query
 def check_relationships(spark, d):
-    kept = current_issuers(spark, d).where(F.col("cik") % 5 != 0)
-    return C.check_relationship(annual(spark, d), kept, "issuer_key").select("annual_key", "cik")
+    marts = Marts(spark, d)
+    kept = marts.issuers.where(F.col("cik") % 5 != 0)
+    return C.check_relationship(marts.annual, kept, "issuer_key").select("annual_key", "cik")
 
 
 @query
