@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vintry.contract import NONNEGATIVE_METRICS
 from vintry.functions.measures import is_duration_off_annual, raised
 from vintry.operators.history import overlapping_versions
+from vintry.operators.ordered import HOT_ROWS
 
 
 def _any(*conditions: Column) -> Column:
@@ -93,9 +94,12 @@ def check_summary(
     trends: DataFrame,
     revisions: DataFrame,
     as_of: date,
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """All 23 checks as (check_name, failing_rows, status). Meant for stored tables."""
+    """All 23 checks as (check_name, failing_rows, status). Meant for stored tables.
+
+    Runs one small job to look for issuers with very many versions.
+    """
     c = F.col
     parts = [
         _tally(facts, "facts", "fact_id", {

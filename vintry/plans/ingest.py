@@ -172,7 +172,10 @@ def ingest(
     store.write_bucketed(fresh.select(*schemas.FACTS.names), "facts", f"run_id={run_id}")
     inserted = store.written(spark, schemas.FACTS, "facts", f"run_id={run_id}")
 
-    names = staged.groupBy("cik").agg(F.max("entity_name").alias("name"))
+    # Distinct first: it hashes, where a maximum of text would sort every observation.
+    names = staged.select("cik", "entity_name").distinct().groupBy("cik").agg(
+        F.max("entity_name").alias("name")
+    )
     incoming = pending.join(names, "cik", "inner").select(
         "cik", "name", "ticker", "sector", "headquarters"
     ).distinct()

@@ -29,7 +29,7 @@ def build_session(app: str = "vintry", master: str | None = None, **extra: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; fall back only where none is set."""
+    """Use the shared folder the cluster names; a local session may do without one."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -37,5 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vintry-checkpoint-"))
     return context.getCheckpointDir()
