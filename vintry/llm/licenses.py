@@ -59,7 +59,7 @@ SENTENCES = (
     ("ISC-ref", r".*(?:licensed|released|available|distributed) under (?:the )?(?:terms of the )?isc licen[cs]e"),
     ("Unlicense-grant", r"this is free and unencumbered software released into the public domain"),
     ("Domain-ref", r".*(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
-    ("SPDX-ref#", r"spdx license identifier ([a-z0-9.+ ]+)"),
+    ("SPDX-ref#", r"spdx license identifier [a-z0-9.]+.*"),
     ("Rights-reserved", r".*all rights reserved"),
 )
 
@@ -87,12 +87,19 @@ RULES = (
     ("{}", ("SPDX-ref#",)),
 )
 
-# Every known sentence holds one of these (in its pattern, too), so a text without any of
+# Every known sentence holds one of these, each within one word, so a text without any of
 # them has no licence sentence.
 MARKS = (
-    "licen", "permi", "redistribut", "warrant", "liable", "advertising materials", "copyright",
-    "public domain", "rights reserved", "cc0", "mpl", "creative commons", "mozilla", "apache",
+    "licen", "permi", "redistribut", "warrant", "liable", "advertising", "endorse", "domain",
+    "reserved", "copyright", "cc0", "mpl", "commons", "mozilla", "apache",
 )
+_SPDX = re.compile(r"(?i)identifier\W+([A-Za-z0-9.+-]+)")
+_CC_BY = re.compile(r"\bcc\W+by\b")
+
+
+def _marked(low: str) -> bool:
+    return any(mark in low for mark in MARKS) or "cc" in low and bool(_CC_BY.search(low))
+
 
 _END = re.compile(r"(?<=[.!?;:])\s+|\n")
 _BREAK = re.compile(r"\n\s*\n")
@@ -110,6 +117,9 @@ def sentence_id(sentence: str) -> str | None:
     plain = " ".join(normalised(sentence).split())
     for name, pattern in _KNOWN:
         if found := pattern.fullmatch(plain):
+            if name == "SPDX-ref#":
+                # Such identifiers keep their case and signs.
+                return f"{name}:{_SPDX.search(sentence)[1]}"
             if name.endswith("#"):
                 return f"{name}:{next((g for g in found.groups() if g), '')}"
             return name
@@ -134,10 +144,11 @@ def identified(text: str) -> list[tuple[int, int, str]]:
     that ends a sentence, the longest first.
     """
     low = text.lower()
-    if not any(mark in low for mark in MARKS):
+    if not _marked(low):
         return []
     pieces, out, i = sentences(text), [], 0
-    marked = [any(m in low[a:b] for m in MARKS) for a, b in pieces]
+    # Lower-casing may move places in other scripts, so each piece is lowered by itself.
+    marked = [_marked(text[a:b].lower()) for a, b in pieces]
     while i < len(pieces):
         j = i
         # Up to the piece that ends with a full stop, or a blank line.
