@@ -169,6 +169,8 @@ def test_broken_envelopes(spark, payload):
         10: (broken(lambda p: p["facts"]["us-gaap"].update(Assets={"units": []})), "units_not_arrays"),
         11: (broken(lambda p: p["facts"]["us-gaap"].update(Assets={"units": {"USD": 5}})), "units_not_arrays"),
         12: (payload, None),
+        18: (broken(lambda p: p["facts"]["us-gaap"].update(Weird=5, Odd=[1], Void=None)), None),
+        19: (broken(lambda p: p["facts"]["us-gaap"].update(Assets=[1])), "units_not_arrays"),
         13: (json.dumps({**payload, "cik": 13}) + " trailing", "unreadable_json"),
         14: (json.dumps({**payload, "cik": 14}) + ',{"cik": 14}', "unreadable_json"),
         15: (json.dumps([{**payload, "cik": 15}]), "unreadable_json"),

@@ -1,4 +1,4 @@
-"""Hot groups split into chunks give what one window gives."""
+"""Groups worked off in chunks give what one window gives, and start no job."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vintry.operators.history import overlapping_versions, scd2_build
-from vintry.operators.ordered import hot_buckets, ordered_columns
+from vintry.operators.ordered import ordered_columns
 
 
 def rows_with_hot_group(seed, n=3000):
@@ -46,35 +46,42 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [None, 100, 1])
-def test_neighbours(table, hot_rows):
+@pytest.mark.parametrize("width", [1, 4, 1000])
+def test_neighbours(table, width):
+    chunk = F.floor(F.col("day") / width)
     got = ordered_columns(
-        table, ["g"], ["day", "id"], {"before": "v"}, {"after": "v"}, {"top": "v"}, hot_rows
+        table, ["g"], ["day", "id"], chunk, {"before": "v"}, {"after": "v"}, {"top": "v"}
     )
     assert got.columns == ["g", "day", "id", "v", "before", "after", "top"]
     found = [tuple(r) for r in got.collect()]
     assert len(found) == 3000 and set(found) == brute(rows_with_hot_group(1))
 
 
-def test_only_the_hot_group_is_split(table):
-    assert len(hot_buckets(table, ["g"], 500)) == 1
-    assert hot_buckets(table, ["g"], 2000) == []
+def test_building_starts_no_job(spark, table):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    ordered_columns(table, ["g"], ["day", "id"], F.col("day"), {"before": "v"}, {}, {"top": "v"})
+    states = table.select("g", "v", F.timestamp_seconds("day").alias("seen"), "id")
+    overlapping_versions(
+        scd2_build(states, "g", ["v"], "seen", "id"), "g", "id"
+    )
+    assert list(tracker.getJobIdsForGroup("building")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def events(seed):
     rng = random.Random(seed)
     start = datetime(2024, 1, 1)
     return [
-        (i, start + timedelta(minutes=rng.randrange(200)), 0 if i % 3 == 0 else rng.randrange(9), rng.choice("abc"))
+        (i, start + timedelta(hours=rng.randrange(200)), 0 if i % 3 == 0 else rng.randrange(9), rng.choice("abc"))
         for i in range(600)
     ]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 50])
-def test_history_and_overlaps_match_brute_force(spark, hot_rows):
+def test_history_and_overlaps_match_brute_force(spark):
     rows = events(3)
     log = spark.createDataFrame(rows, "id int, ts timestamp, who int, state string")
-    built = scd2_build(log, "who", ["state"], "ts", "id", hot_rows=hot_rows)
+    built = scd2_build(log, "who", ["state"], "ts", "id")
     expected = set()
     for who in {r[2] for r in rows}:
         seen = sorted((r[1], r[0], r[3]) for r in rows if r[2] == who)
@@ -87,7 +94,7 @@ def test_history_and_overlaps_match_brute_force(spark, hot_rows):
 
     stretched = built.select(
         "who", "id", "valid_from",
-        F.when(F.col("id") % 4 == 0, F.col("valid_to") + F.expr("INTERVAL 5 MINUTES"))
+        F.when(F.col("id") % 4 == 0, F.col("valid_to") + F.expr("INTERVAL 5 HOURS"))
         .otherwise(F.col("valid_to")).alias("valid_to"),
     )
     spans = [
@@ -99,5 +106,5 @@ def test_history_and_overlaps_match_brute_force(spark, hot_rows):
         (a[0], a[1]) for a in spans for b in spans
         if a[0] == b[0] and a[1] != b[1] and a[2] < b[3] and b[2] < a[3]
     }
-    found = overlapping_versions(stretched, "who", "id", hot_rows=hot_rows).collect()
+    found = overlapping_versions(stretched, "who", "id").collect()
     assert len(found) == len(pairs) and {(r["who"], r["id"]) for r in found} == pairs

@@ -8,8 +8,10 @@ import pytest
 from compare import compare, open_tables
 from conftest import SF_DIR
 
+from vintry.catalog import oracle, queries
+
 contract = importlib.import_module("__spark_entry__")
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")

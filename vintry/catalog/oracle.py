@@ -310,13 +310,13 @@ def _telemetry() -> str:
 
 def _gauges() -> str:
     rows = [
-        ("serving_release_ready", "Validated release is readable.", "1"),
-        ("financial_fact_versions", "Preserved fact versions.", "(SELECT count(*) FROM facts)"),
-        ("annual_periods", "Published company periods.", "(SELECT count(*) FROM annual)"),
-        ("incomplete_annual_periods", "Periods missing a mapped metric.",
+        ("serving_release_ready", "1 while a checked release can be read, else 0.", "1"),
+        ("financial_fact_versions", "Fact versions the release holds.", "(SELECT count(*) FROM facts)"),
+        ("annual_periods", "Issuer periods with an annual record.", "(SELECT count(*) FROM annual)"),
+        ("incomplete_annual_periods", "Annual records without all contract metrics.",
          "(SELECT count(*) FROM annual WHERE available_metrics < 10)"),
-        ("balance_warnings", "Balance checks outside tolerance.", "(SELECT count(*) FROM balance)"),
-        ("checks_passed", "Passing checks in this release.",
+        ("balance_warnings", "Annual records whose balance is off.", "(SELECT count(*) FROM balance)"),
+        ("checks_passed", "Checks that the release passed.",
          "(SELECT count(*) FROM (" + _check_rows() + ") WHERE status = 'pass')"),
     ]
     return " UNION ALL ".join(

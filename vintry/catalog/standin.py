@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from vintry.contract import DURATION, INSTANT, METRICS, Concept
 from vintry.functions.identity import fact_identity, issuer_attribute_hash, issuer_key
 from vintry.operators.validation import FACT_COLUMNS
-from vintry.sources.tables import spread
 
 AS_OF = date(2001, 1, 1)
 EARLIER = date(1998, 6, 30)
@@ -35,8 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def columns(spark: SparkSession, sf_dir: str, name: str, *names: str) -> DataFrame:
-    """Some columns of a table, the first of which is a key."""
-    return spread(table(spark, sf_dir, name).select(*names), names[0])
+    return table(spark, sf_dir, name).select(*names)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

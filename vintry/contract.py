@@ -67,9 +67,6 @@ NORMALIZER_VERSION = "1"
 FILING_ARCHIVE = "https://www.sec.gov/Archives/edgar/data/"
 OPEN_END = "9999-12-31"
 
-# Bump when the meaning of any mart changes, so an unchanged source is rebuilt.
-MODEL_VERSION = "1"
-
 # A concept map is code-sized; anything bigger must arrive as a joined table.
 MAX_CONCEPTS = 10_000
 

@@ -35,8 +35,12 @@ def revenue_anchored(pivoted: DataFrame) -> DataFrame:
 
 def anchored_facts(canonical: DataFrame) -> DataFrame:
     """The same anchor at fact level: facts of periods that have a revenue fact."""
-    anchors = canonical.where(F.col("metric") == "revenue").select("cik", "period_end")
-    return canonical.join(anchors, ["cik", "period_end"], "left_semi")
+    # At most one fact per metric here, so a group has no more rows than there are metrics.
+    period = Window.partitionBy("cik", "period_end")
+    anchored = canonical.where(F.col("cik").isNotNull() & F.col("period_end").isNotNull()).withColumn(
+        "__anchor", F.max(F.col("metric") == "revenue").over(period)
+    )
+    return anchored.where("__anchor").drop("__anchor")
 
 
 def annual_financials(canonical: DataFrame, issuers: DataFrame, as_of: date) -> DataFrame:

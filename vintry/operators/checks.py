@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from vintry.contract import NONNEGATIVE_METRICS
 from vintry.functions.measures import is_duration_off_annual, raised
 from vintry.operators.history import overlapping_versions
-from vintry.operators.ordered import HOT_ROWS
 
 
 def _any(*conditions: Column) -> Column:
@@ -94,12 +93,8 @@ def check_summary(
     trends: DataFrame,
     revisions: DataFrame,
     as_of: date,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """All 23 checks as (check_name, failing_rows, status). Meant for stored tables.
-
-    Runs one small job to look for issuers with very many versions.
-    """
+    """All 23 checks as (check_name, failing_rows, status). Meant for stored tables."""
     c = F.col
     parts = [
         _tally(facts, "facts", "fact_id", {
@@ -124,7 +119,7 @@ def check_summary(
         _tally(revisions, "filing_revisions", "fact_id", {}),
         _counted("issuer_history.one_current", check_one_current(history)),
         _counted(
-            "issuer_history.no_overlap", overlapping_versions(history, hot_rows=hot_rows)
+            "issuer_history.no_overlap", overlapping_versions(history)
         ),
     ]
     status = F.when(F.col("failing_rows") == 0, F.lit("pass")).otherwise(F.lit("fail"))

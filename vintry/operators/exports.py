@@ -19,21 +19,27 @@ HISTORY_COLUMNS = (
 _RATIOS = ("net_margin", "current_ratio", "liabilities_to_assets", "revenue_growth_yoy")
 
 
-def _history_text(name: str) -> Column:
+def _history_text(name: str, places: int | None) -> Column:
     if name in METRICS:
         return exact_text(F.col(name))
     if name in _RATIOS:
-        # Plain decimals, six places: a double's own text may use an exponent.
-        return F.round(name, 6).cast("decimal(38,6)").cast("string")
+        if places is None:
+            return F.col(name).cast("string")
+        return F.round(name, places).cast(f"decimal(38,{places})").cast("string")
     return F.col(name).cast("string")
 
 
-def history_lines(history: DataFrame, issuers: DataFrame, as_of: date) -> DataFrame:
-    """One CSV line per annual period: present cells quoted, missing cells empty."""
+def history_lines(
+    history: DataFrame, issuers: DataFrame, as_of: date, places: int | None = None
+) -> DataFrame:
+    """One CSV line per annual period: present cells quoted, missing cells empty.
+
+    Ratios are written with all their digits, or rounded to ``places`` decimals.
+    """
     named = history.join(issuers.select("cik", "ticker"), "cik", "inner").withColumn(
         "as_of", F.lit(as_of)
     )
-    cells = [csv_cell(_history_text(name)) for name in HISTORY_COLUMNS]
+    cells = [csv_cell(_history_text(name, places)) for name in HISTORY_COLUMNS]
     return named.select("ticker", "period_end", F.concat_ws(",", *cells).alias("line"))
 
 

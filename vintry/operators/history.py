@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from vintry.contract import OPEN_END
 from vintry.functions.identity import digest, issuer_attribute_hash, issuer_key
-from vintry.operators.ordered import HOT_ROWS, ordered_columns
+from vintry.operators.ordered import ordered_columns
+
+
+def _day(instant: str) -> Column:
+    return F.unix_date(F.col(instant).cast("date"))
 
 
 def scd2_build(
@@ -16,27 +20,26 @@ def scd2_build(
     attributes: list[str],
     observed: str,
     tie: str,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Full history from a log of observed attribute states.
 
     A version starts where the attributes differ from the state seen before, and ends
-    where the next version starts. ``tie`` orders states seen at one instant. May run
-    small jobs to look for hot keys.
+    where the next version starts. ``tie`` orders states seen at one instant. Chunks are
+    days: a task sorts the states of one key seen on one day.
     """
     states = changes.select(
         key, *attributes, observed, tie,
         digest(**{c: F.col(c) for c in (key, *attributes)}).alias("attribute_hash"),
     )
     seen = ordered_columns(
-        states, [key], [observed, tie],
-        previous={"previous_hash": "attribute_hash"}, hot_rows=hot_rows,
+        states, [key], [observed, tie], _day(observed),
+        previous={"previous_hash": "attribute_hash"},
     )
     starts = seen.where(
         F.col("previous_hash").isNull() | (F.col("previous_hash") != F.col("attribute_hash"))
     ).drop("previous_hash")
     versions = ordered_columns(
-        starts, [key], [observed, tie], following={"valid_to": observed}, hot_rows=hot_rows
+        starts, [key], [observed, tie], _day(observed), following={"valid_to": observed}
     )
     return versions.withColumnRenamed(observed, "valid_from").withColumn(
         "version_key", issuer_key(F.col("attribute_hash"), F.col("valid_from"))
@@ -89,7 +92,6 @@ def overlapping_versions(
     history: DataFrame,
     key: str = "cik",
     version: str = "issuer_key",
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Versions that share an instant with another version of the same key.
 
@@ -105,10 +107,9 @@ def overlapping_versions(
         F.col("valid_from") < F.col("until")
     )
     seen = ordered_columns(
-        spans, [key], ["valid_from", version],
+        spans, [key], ["valid_from", version], _day("valid_from"),
         following={"next_from": "valid_from"},
         highest_before={"latest_until": "until"},
-        hot_rows=hot_rows,
     )
     return seen.where(
         (F.col("latest_until") > F.col("valid_from")) | (F.col("next_from") < F.col("until"))

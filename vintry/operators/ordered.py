@@ -1,10 +1,10 @@
 """Neighbours and running maxima inside ordered groups, without one huge task.
 
-A window function sorts each group in one task. That is right for ordinary groups
-and ruinous for one that holds a large share of the table. Here a bounded histogram
-finds such groups; their rows are range-partitioned by (keys, order) so that each
-chunk is an ordinary piece of work, and only one edge row per chunk is passed on.
-Results are the same either way, whichever groups are taken for hot.
+A window function sorts each group in one task, which is ruinous for a group that holds a
+large share of a table. Here the caller names a chunk that rises with the order, a day for
+instance. Windows run inside (keys, chunk); one edge row per (keys, chunk) then carries on
+what lies beyond. A task thus sorts no more than one key's rows of one chunk, and one key's
+chunks. Rows are exchanged once, by (keys, chunk); nothing runs while the result is built.
 """
 
 from __future__ import annotations
@@ -12,107 +12,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintry.session import ensure_checkpoint_dir
-
-# The histogram never has more rows than this, so it may come to the driver.
-BUCKETS = 16_384
-# Smaller groups are never worth splitting; larger ones only if they stand out.
-HOT_ROWS = 5_000_000
-HOT_FACTOR = 4
-
-_CHUNK, _EDGE = "__chunk", "__edge"
-
-
-def _bucket(keys: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-
-
-def hot_buckets(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Key-hash buckets that hold far more rows than the mean. Runs one small job."""
-    counts = df.groupBy(_bucket(keys).alias("bucket")).count().collect()
-    mean = sum(row["count"] for row in counts) / BUCKETS
-    limit = max(hot_rows, HOT_FACTOR * mean)
-    return [row["bucket"] for row in counts if row["count"] > limit]
+_GROUP, _CHUNK, _FIRST, _LAST = "__group", "__chunk", "__first", "__last"
 
 
 def ordered_columns(
     df: DataFrame,
     keys: list[str],
     order: list[str],
+    chunk: Column,
     previous: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
     highest_before: dict[str, str] | None = None,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add columns read from neighbouring rows of the same group.
 
     ``previous``/``following`` map a new column to the column read from the row just
     before/after; ``highest_before`` maps one to the maximum over all earlier rows.
-    ``order`` ascends, nulls first, and must be unique within a group. ``hot_rows=None``
-    skips the search for hot groups, for callers whose groups are bounded.
+    ``order`` ascends, nulls first, and must be unique within a group. ``chunk`` must never
+    fall along the order, is a whole number, and is null only for rows that come first; it
+    bounds the work of one task, never the result.
     """
-    wanted = (previous or {}, following or {}, highest_before or {})
-    hot = [] if hot_rows is None else hot_buckets(df, keys, hot_rows)
-    if not hot:
-        return _in_one_window(df, keys, order, *wanted)
-    is_hot = _bucket(keys).isin(hot)
-    return _in_one_window(df.where(~is_hot), keys, order, *wanted).unionByName(
-        _in_chunks(df.where(is_hot), keys, order, *wanted)
-    )
-
-
-def _in_one_window(df, keys, order, previous, following, highest_before):
-    ordered = Window.partitionBy(*keys).orderBy(*order)
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    return df.select(
+    previous, following, highest = previous or {}, following or {}, highest_before or {}
+    # One exchange serves the windows, the edges and the join below.
+    day = F.coalesce(chunk.cast("bigint"), F.lit(-(2**63)))
+    dealt = df.withColumns({_GROUP: F.xxhash64(*keys), _CHUNK: day}).repartition(_GROUP, _CHUNK)
+    group = [_GROUP, *keys, _CHUNK]
+    up = Window.partitionBy(*group).orderBy(*order)
+    earlier = up.rowsBetween(Window.unboundedPreceding, -1)
+    anyone = F.lit(1)
+    inside = dealt.select(
         "*",
-        *[F.lag(source).over(ordered).alias(name) for name, source in previous.items()],
-        *[F.lead(source).over(ordered).alias(name) for name, source in following.items()],
-        *[F.max(source).over(earlier).alias(name) for name, source in highest_before.items()],
+        *[F.lag(s).over(up).alias(n) for n, s in previous.items()],
+        *[F.lead(s).over(up).alias(n) for n, s in following.items()],
+        *[F.max(s).over(earlier).alias(n) for n, s in highest.items()],
+        F.lag(anyone).over(up).isNull().alias(_FIRST),
+        F.lead(anyone).over(up).isNull().alias(_LAST),
     )
-
-
-def _in_chunks(df, keys, order, previous, following, highest_before):
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    pieces = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # The chunk number depends on sampled range bounds, so it is fixed once, in
-    # reliable storage: both uses below and any recomputation see the same chunks.
-    chunked = (
-        df.repartitionByRange(pieces, *keys, *order)
-        .withColumn(_CHUNK, F.spark_partition_id())
-        .checkpoint()
-    )
-    group = [*keys, _CHUNK]
-    inside = _in_one_window(chunked, group, order, previous, following, highest_before)
-    up = Window.partitionBy(*group).orderBy(*order)
-    down = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
-    inside = inside.withColumn(_EDGE, F.struct(
-        (F.row_number().over(up) == 1).alias("first"),
-        (F.row_number().over(down) == 1).alias("last"),
-    ))
-
-    rank = [F.col(c) for c in order]
-    edges = chunked.groupBy(*group).agg(
-        *[F.max(F.struct(*rank, F.col(s).alias("v")))["v"].alias(f"__p_{n}") for n, s in previous.items()],
-        *[F.min(F.struct(*rank, F.col(s).alias("v")))["v"].alias(f"__f_{n}") for n, s in following.items()],
-        *[F.max(s).alias(f"__h_{n}") for n, s in highest_before.items()],
+    edges = inside.groupBy(*group).agg(
+        *[F.max(F.when(F.col(_LAST), F.col(s))).alias(f"__p_{n}") for n, s in previous.items()],
+        *[F.max(F.when(F.col(_FIRST), F.col(s))).alias(f"__f_{n}") for n, s in following.items()],
+        *[F.max(s).alias(f"__h_{n}") for n, s in highest.items()],
     )
-    # At most one row per chunk and group here: a window over them is small.
-    across = Window.partitionBy(*keys).orderBy(_CHUNK)
+    across = Window.partitionBy(_GROUP, *keys).orderBy(_CHUNK)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *[F.col(c).alias(f"__k_{c}") for c in group],
         *[F.lag(f"__p_{n}").over(across).alias(f"__p_{n}") for n in previous],
         *[F.lead(f"__f_{n}").over(across).alias(f"__f_{n}") for n in following],
-        *[F.max(f"__h_{n}").over(before).alias(f"__h_{n}") for n in highest_before],
+        *[F.max(f"__h_{n}").over(before).alias(f"__h_{n}") for n in highest],
     )
-    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in group]
+    # The hash and the chunk are never null here, so rows stay where they are.
+    same = [F.col(c) == F.col(f"__k_{c}") for c in (_GROUP, _CHUNK)]
+    same += [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in keys]
     joined = inside.join(carried, on=same, how="left")
-    first, last = F.col(f"{_EDGE}.first"), F.col(f"{_EDGE}.last")
+    first, last = F.col(_FIRST), F.col(_LAST)
     return joined.select(
         *df.columns,
         *[F.when(first, F.col(f"__p_{n}")).otherwise(F.col(n)).alias(n) for n in previous],
         *[F.when(last, F.col(f"__f_{n}")).otherwise(F.col(n)).alias(n) for n in following],
-        *[F.greatest(F.col(n), F.col(f"__h_{n}")).alias(n) for n in highest_before],
+        *[F.greatest(F.col(n), F.col(f"__h_{n}")).alias(n) for n in highest],
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from vintry.contract import METRICS
@@ -115,19 +117,38 @@ def release_totals(facts: DataFrame, annual: DataFrame, revisions: DataFrame) ->
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-# Gauge names and help texts of a served release, each with the
-# count it shows.
+# Gauge names of a served release. Each stands for one count.
 GAUGES = (
-    ("ready", "serving_release_ready", "Validated release is readable."),
-    ("total_facts", "financial_fact_versions", "Preserved fact versions."),
-    ("annual_periods", "annual_periods", "Published company periods."),
-    ("incomplete_periods", "incomplete_annual_periods", "Periods missing a mapped metric."),
-    ("balance_warnings", "balance_warnings", "Balance checks outside tolerance."),
-    ("checks_passed", "checks_passed", "Passing checks in this release."),
-    ("age_seconds", "release_age_seconds", "Seconds since publication; not source freshness."),
+    ("ready", "serving_release_ready", "1 while a checked release can be read, else 0."),
+    ("total_facts", "financial_fact_versions", "Fact versions the release holds."),
+    ("annual_periods", "annual_periods", "Issuer periods with an annual record."),
+    ("incomplete_periods", "incomplete_annual_periods", "Annual records without all contract metrics."),
+    ("balance_warnings", "balance_warnings", "Annual records whose balance is off."),
+    ("checks_passed", "checks_passed", "Checks that the release passed."),
+    ("age_seconds", "release_age_seconds", "Time since the release was published."),
 )
 
 
+def _labelled(rows: DataFrame) -> DataFrame:
+    """(source, value) with the gauge's name and help text."""
+    named = {source: (name, text) for source, name, text in GAUGES}
+    label = F.create_map(*[F.lit(x) for s, (n, _) in named.items() for x in (s, n)])
+    help_text = F.create_map(*[F.lit(x) for s, (_, t) in named.items() for x in (s, t)])
+    return rows.select(
+        label[F.col("source")].alias("name"), help_text[F.col("source")].alias("help"), "value"
+    )
+
+
+def manifest_gauges(spark: SparkSession, manifest: Row | None) -> DataFrame:
+    """Gauges from the counts a manifest holds; no table is read."""
+    if manifest is None or manifest["status"] != "success" or not manifest["checks_passed"]:
+        return _labelled(spark.createDataFrame([("ready", 0.0)], "source string, value double"))
+    counts = ("total_facts", "annual_periods", "incomplete_periods", "balance_warnings", "checks_passed")
+    age = (datetime.now(timezone.utc) - manifest["published_at"].astimezone(timezone.utc)).total_seconds()
+    rows = [("ready", 1.0), *((c, float(manifest[c] or 0)) for c in counts), ("age_seconds", max(age, 0.0))]
+    return _labelled(spark.createDataFrame(rows, "source string, value double"))
+
+
 def release_gauges(
     summary: DataFrame, facts: DataFrame, checks: DataFrame, published_at: Column | None = None
 ) -> DataFrame:
@@ -149,12 +170,7 @@ def release_gauges(
         rows = rows.unionByName(
             summary.select(F.lit("age_seconds").alias("source"), age.alias("value"))
         )
-    named = {source: (name, text) for source, name, text in GAUGES}
-    label = F.create_map(*[F.lit(x) for s, (n, _) in named.items() for x in (s, n)])
-    help_text = F.create_map(*[F.lit(x) for s, (_, t) in named.items() for x in (s, t)])
-    return rows.select(
-        label[F.col("source")].alias("name"), help_text[F.col("source")].alias("help"), "value"
-    )
+    return _labelled(rows)
 
 
 def gauge_text(gauges: DataFrame, prefix: str = "") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintry.functions.measures import safe_ratio
-from vintry.operators.ordered import HOT_ROWS, ordered_columns
+from vintry.operators.ordered import ordered_columns
 from vintry.operators.selection import annual_candidates
 
 _SERIES = ["cik", "concept", "unit", "period_start", "period_end"]
@@ -21,11 +21,14 @@ _OUTPUT = [
 MAX_LIMIT = 200
 
 
-def changed_versions(candidates: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Versions whose value differs from the version filed before. May run one small job."""
+def changed_versions(candidates: DataFrame) -> DataFrame:
+    """Versions whose value differs from the version filed before.
+
+    Chunks are filing days: a task sorts what one series filed on one day.
+    """
     versions = ordered_columns(
-        candidates, _SERIES, _FILING_ORDER,
-        previous={"previous_value": "value"}, hot_rows=hot_rows,
+        candidates, _SERIES, _FILING_ORDER, F.unix_date("filed"),
+        previous={"previous_value": "value"},
     )
     change = F.col("value") - F.col("previous_value")
     return (
@@ -44,12 +47,11 @@ def filing_revisions(
     limit: int | None = None,
     observed_before: datetime | None = None,
     cik: int | None = None,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """All revisions at the cutoffs, or the ``limit`` latest with a stable tie order."""
     if limit is not None and not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
-    changed = changed_versions(annual_candidates(facts, as_of, observed_before, cik), hot_rows)
+    changed = changed_versions(annual_candidates(facts, as_of, observed_before, cik))
     if limit is None:
         return changed
     return changed.orderBy(

@@ -90,8 +90,12 @@ def candidate_extract(facts: DataFrame) -> DataFrame:
 
 def selection_parity(left: DataFrame, right: DataFrame, key: str = "fact_id") -> DataFrame:
     """Keys one route selected and the other did not; empty means the routes agree."""
-    a, b = left.select(key), right.select(key)
-    return (
-        a.exceptAll(b).withColumn("only_in", F.lit("left"))
-        .unionByName(b.exceptAll(a).withColumn("only_in", F.lit("right")))
+    sided = left.select(key, F.lit(1).alias("side")).unionByName(
+        right.select(key, F.lit(-1).alias("side"))
+    )
+    surplus = sided.groupBy(key).agg(F.sum("side").alias("n")).where("n <> 0")
+    side = F.when(F.col("n") > 0, F.lit("left")).otherwise(F.lit("right"))
+    # A key that one side has n times more often comes n times.
+    return surplus.select(
+        key, F.explode(F.array_repeat(side, F.abs("n").cast("int"))).alias("only_in")
     )

@@ -42,8 +42,10 @@ FACT_COLUMNS = [
 # keys: numbers keep all their digits, and rows do not carry the document's dictionary.
 _DOCUMENT = """
     array<struct<cik: variant, entityName: variant,
-      facts: struct<`us-gaap`: map<string, struct<units: map<string, array<variant>>>>>>>
+      facts: struct<`us-gaap`: map<string, variant>>>>
 """
+# Read for known concepts only: what an unknown one looks like is nobody's business.
+_UNITS = "map<string, array<variant>>"
 # One cast reads all fields of an observation. Types that a rule asks for stay VARIANT.
 _OBSERVATION = """
     struct<val: variant, `end`: string, start: string, filed: string, accn: string,
@@ -108,13 +110,16 @@ def flatten_documents(documents: DataFrame, concepts=CONCEPTS) -> DataFrame:
 
     known = F.broadcast(concept_table(documents.sparkSession, concepts))
     mapped = by_concept.join(known, "concept", "left")
-    is_known, units = F.col("metric").isNotNull(), F.col("definition.units")
+    is_known = F.col("metric").isNotNull()
+    read = F.try_variant_get("definition", "$.units", _UNITS)
+    # A unit that holds no array comes out as NULL.
+    units = F.when(is_known & ~F.exists(F.map_values(read), lambda held: held.isNull()), read)
     broken = F.when(is_known & units.isNull(), F.lit("units_not_arrays"))
     carried = [*[c for c in carried if c != "document_error"],
                "concept", "metric", "kind", "alias_priority"]
     by_unit = mapped.select(
         *carried, F.coalesce("document_error", broken).alias("document_error"),
-        F.explode_outer(F.when(is_known, units)).alias("unit", "values"),
+        F.explode_outer(units).alias("unit", "values"),
     )
     reported = F.when(F.col("unit") == REPORTING_UNIT, F.col("values"))
     rows = by_unit.select(
@@ -242,19 +247,22 @@ def rejected_rows(normalized: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def document_errors(normalized: DataFrame) -> DataFrame:
-    """Documents that break the envelope contract, each with its first error."""
+def document_errors(normalized: DataFrame, *by: str) -> DataFrame:
+    """Documents that break the envelope contract, each with its first error.
+
+    ``by`` names what makes a document, the issuer by default.
+    """
     return (
         normalized.where(F.col("status") == DOCUMENT_ERROR)
-        .groupBy("cik")
+        .groupBy(*(by or ("cik",)))
         .agg(F.min("document_error").alias("document_error"))
     )
 
 
-def accepted_nothing(normalized: DataFrame) -> DataFrame:
-    """Issuers whose source gave no accepted fact at all."""
+def accepted_nothing(normalized: DataFrame, *by: str) -> DataFrame:
+    """Documents (issuers by default) that gave no accepted fact at all."""
     return (
-        normalized.groupBy("cik")
+        normalized.groupBy(*(by or ("cik",)))
         .agg(
             F.count_if(F.col("status") == ACCEPTED).alias("accepted"),
             F.count_if(F.col("status") == REJECTED).alias("rejected"),
@@ -263,13 +271,17 @@ def accepted_nothing(normalized: DataFrame) -> DataFrame:
     )
 
 
-def reject_rates(normalized: DataFrame) -> DataFrame:
-    """Rejected share of the supported facts per issuer; copies of one fact count once."""
+def reject_rates(normalized: DataFrame, *by: str) -> DataFrame:
+    """Rejected share of the supported facts of each document (issuer by default).
+
+    Copies of one fact count once.
+    """
+    by = by or ("cik",)
     distinct = (
         normalized.where(F.col("status").isin(ACCEPTED, REJECTED))
-        .groupBy("cik", "status", "fact_id").agg(F.count("*").alias("n"))
+        .groupBy(*by, "status", "fact_id").agg(F.count("*").alias("n"))
     )
-    tallies = distinct.groupBy("cik").agg(
+    tallies = distinct.groupBy(*by).agg(
         F.count_if(F.col("status") == ACCEPTED).alias("accepted"),
         F.coalesce(F.sum(F.when(F.col("status") == REJECTED, F.col("n"))), F.lit(0)).alias("rejected"),
     )

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def keep_first(df: DataFrame, key: str, *order) -> DataFrame:
-    """First row per key in the given order.
+def keep_first(df: DataFrame, key: str | list[str], *order) -> DataFrame:
+    """First row per key (one column, or several) in the given order.
 
     Only the first row per key and map task is shuffled, so many copies of one row
     cost no more than one.
     """
     ranked = df.withColumn(
-        "__copy", F.row_number().over(Window.partitionBy(key).orderBy(*order))
+        "__copy", F.row_number().over(Window.partitionBy(key).orderBy(*order)),
     )
     return ranked.where(F.col("__copy") == 1).drop("__copy")
 
@@ -47,6 +47,22 @@ def load_ledger(
     ])
 
 
+def outcome_counts(rows: DataFrame, known: DataFrame, by: str = "cik") -> DataFrame:
+    """The ledger of one load in one pass over its rows and one look-up.
+
+    ``rows`` holds ``accepted`` and ``fact_id``; accepted rows that are not ``known`` count
+    as inserted.
+    """
+    held = known.select("fact_id", F.lit(True).alias("__held"))
+    looked_up = rows.join(held, "fact_id", "left")
+    accepted = F.col("accepted")
+    return looked_up.groupBy(by).agg(
+        F.count_if(accepted).alias("accepted"),
+        F.count_if(~accepted).alias("rejected"),
+        F.count_if(accepted & F.col("__held").isNull()).alias("inserted"),
+    )
+
+
 def load_verification(facts: DataFrame) -> DataFrame:
     """Row count and exact decimal sum, to compare with an independent closed form."""
     return facts.agg(

@@ -22,7 +22,14 @@ SHOWN = 20
 
 
 class ContractError(ValueError):
-    """A source breaks the contract; nothing of the run may be published."""
+    """A source breaks the contract; nothing of the run may be published.
+
+    ``counts`` holds what the run had found by then.
+    """
+
+    def __init__(self, message: str, **counts):
+        super().__init__(message)
+        self.counts = counts
 
 
 @dataclasses.dataclass(frozen=True)
@@ -37,6 +44,8 @@ class Load:
     rejected: int
     fact_runs: list[str]
     history_run: str | None
+    unmatched: int = 0
+    base: str | None = None  # the release it was compared with
 
 
 def instant(moment: datetime) -> Column:
@@ -45,31 +54,51 @@ def instant(moment: datetime) -> Column:
     return F.lit(moment.astimezone(timezone.utc).isoformat()).cast("timestamp")
 
 
-def _stop_if_any(failing: DataFrame, message: str) -> None:
+def _stop_if_any(failing: DataFrame, message: str, **counts) -> None:
     """Raise with a few examples; only those come to the driver."""
     rows = failing.limit(SHOWN).collect()
     if rows:
-        raise ContractError(f"{message}: " + "; ".join(str(r.asDict()) for r in rows))
+        shown = "; ".join(str(r.asDict()) for r in rows)
+        raise ContractError(f"{message}: {shown}", **counts)
 
 
 def _described(documents: DataFrame, issuers: DataFrame, min_year: int) -> DataFrame:
-    """One row per configured document, without its body."""
+    """One row per document, without its body; ``unmatched`` says why one cannot be used."""
+    landed = F.col("landed_at") if "landed_at" in documents.columns else F.lit(None)
+    known = issuers.withColumn("configured", F.lit(True))
+    unmatched = F.when(F.col("cik").isNull(), F.lit("file_name_without_issuer")).when(
+        F.col("configured").isNull(), F.lit("issuer_not_configured")
+    )
     return (
-        documents.select("cik", "source_url", content_sha(F.col("content")).alias("source_sha"))
-        .join(issuers, "cik", "inner")
+        documents.select(
+            "cik", "source_url", landed.cast("timestamp").alias("landed_at"),
+            content_sha(F.col("content")).alias("source_sha"),
+        )
+        .join(known, "cik", "left")
+        .withColumn("unmatched", unmatched)
         .withColumn("snapshot_id", snapshot_identity(F.col("source_sha"), min_year))
+        .drop("configured")
     )
 
 
-def _archive(store: Store, spark: SparkSession, documents: DataFrame, pending: DataFrame) -> None:
-    """Append bodies that are not archived yet; the digest is the key, never a file name."""
-    bodies = documents.select(
-        "cik", content_sha(F.col("content")).alias("source_sha"),
-        F.col("content").cast("binary").alias("content"),
+def pending_bodies(documents: DataFrame, pending: DataFrame) -> DataFrame:
+    """The documents that ``pending`` names, one each, with their bodies.
+
+    Bodies come from this run's documents, never from the archive of all runs.
+    """
+    hashed = documents.select(
+        "cik", "source_url", content_sha(F.col("content")).alias("source_sha"), "content"
     )
-    wanted = bodies.join(pending.select("cik", "source_sha"), ["cik", "source_sha"], "left_semi")
-    fresh = wanted.join(
-        store.bronze(spark).select("cik", "source_sha"), ["cik", "source_sha"], "left_anti"
+    chosen = pending.select("cik", "source_url", "source_sha", "snapshot_id", "landed_at")
+    return hashed.join(chosen, ["cik", "source_url", "source_sha"], "inner")
+
+
+def _archive(store: Store, spark: SparkSession, bodies: DataFrame, buckets: list[int]) -> None:
+    """Append bodies that are not archived yet; the digest is the key, never a file name."""
+    wanted = bodies.select("cik", "source_sha", F.col("content").cast("binary").alias("content"))
+    archived = store.bronze(spark, buckets).select("cik", "source_sha")
+    fresh = keep_first(wanted, ["cik", "source_sha"], F.lit(1)).join(
+        archived, ["cik", "source_sha"], "left_anti"
     )
     (
         fresh.withColumn("cik_bucket", store.bucket(F.col("cik")))
@@ -99,9 +128,11 @@ def ingest(
 ) -> Load:
     """Validate and load every unseen (issuer, source, contract) snapshot.
 
-    ``documents`` is (cik, source_url, content). With ``complete`` every configured
-    issuer must have a document; a stream of newly landed files passes False. Rejected
-    rows and drift are written even where a gate then stops the run.
+    ``documents`` is (cik, source_url, content) and, where known, ``landed_at``, by which
+    documents of one issuer are ordered. With ``complete`` every configured issuer must
+    have a document; a stream of newly landed files passes False. Documents without a
+    configured issuer, rejected rows and drift are written to quarantine, even where a
+    gate then stops the run. Gates look at each document by itself.
     """
     check_min_year(min_year)
     if not 0 <= max_reject_rate <= 1:
@@ -114,7 +145,13 @@ def ingest(
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return spark.read.parquet(path)
 
-    sources = kept(_described(documents, issuers, min_year), "sources")
+    described = kept(_described(documents, issuers, min_year), "sources")
+    strays = described.where("unmatched is not null")
+    strays.select("source_url", "cik", "source_sha", F.col("unmatched").alias("reason")).write.mode(
+        "overwrite"
+    ).json(store.path("unmatched", f"run_id={run_id}"))
+    unmatched = strays.count()
+    sources = described.where("unmatched is null").drop("unmatched")
     if complete:
         absent = issuers.select("cik").join(sources, "cik", "left_anti")
         _stop_if_any(absent, "issuers without a source document")
@@ -122,25 +159,27 @@ def ingest(
     release = store.current_release(spark)
     known_runs = list(release["fact_runs"]) if release else []
     history_run = release["history_run"] if release else None
+    base = release["run_id"] if release else None
 
+    landing = [F.col("landed_at").asc_nulls_first(), F.col("source_url")]
     pending = kept(
         keep_first(
             unseen(sources, store.snapshots(spark, known_runs), "snapshot_id"),
-            "snapshot_id", "source_url",
+            "snapshot_id", *landing,
         ),
         "pending",
     )
     loaded = pending.count()
     skipped = sources.count() - loaded
     if loaded == 0:
-        return Load(run_id, observed, 0, skipped, 0, 0, known_runs, history_run)
+        return Load(run_id, observed, 0, skipped, 0, 0, known_runs, history_run, unmatched, base)
 
-    _archive(store, spark, documents, pending)
-    bodies = (
-        store.bronze(spark).join(pending, ["cik", "source_sha"], "inner")
-        .withColumn("content", F.col("content").cast("string"))
-        .select("cik", "source_sha", "snapshot_id", "content")
-    )
+    # At most store.buckets numbers: they prune the stored side to the touched folders.
+    folders = pending.select(store.bucket(F.col("cik")).alias("b")).distinct().collect()
+    touched = [r["b"] for r in folders]
+    bodies = pending_bodies(documents, pending)
+    _archive(store, spark, bodies, touched)
+    bodies = bodies.drop("source_url")
     # Every gate, count and table below reads this one table, and a lost executor
     # never sends the job back to parsing.
     staged = kept(V.normalize(bodies, concepts, min_year), "observations")
@@ -150,32 +189,42 @@ def ingest(
     V.drift_telemetry(staged).write.mode("overwrite").json(
         store.path("telemetry", f"run_id={run_id}")
     )
-    _stop_if_any(V.document_errors(staged), "source envelope violates the contract")
-    _stop_if_any(V.accepted_nothing(staged), "no supported fact survived the contract")
-    rates = V.reject_rates(staged)
-    _stop_if_any(rates.where(F.col("reject_rate") > max_reject_rate), "too many rejected rows")
+    document = ("cik", "snapshot_id")
+    found = {
+        "snapshots_loaded": loaded, "snapshots_skipped": skipped,
+        "documents_unmatched": unmatched, "rejected_rows": rejected.count(),
+    }
+    _stop_if_any(
+        V.document_errors(staged, *document), "source envelope violates the contract", **found
+    )
+    _stop_if_any(
+        V.accepted_nothing(staged, *document), "no supported fact survived the contract", **found
+    )
+    over = V.reject_rates(staged, *document).where(F.col("reject_rate") > max_reject_rate)
+    _stop_if_any(over, "too many rejected rows", **found)
 
+    accepted = V.accepted_facts(staged, "source_sha", "snapshot_id", "landed_at")
+    # A fact that several documents state belongs to the one that landed first.
     unique = keep_first(
-        V.accepted_facts(staged, "source_sha", "snapshot_id"), "fact_id", "idx"
+        accepted, "fact_id", F.col("landed_at").asc_nulls_first(), "source_sha", "idx"
     )
     moment = instant(observed)
-    location = F.concat(F.lit("bronze/"), F.col("cik").cast("string"), F.lit("/"), F.col("source_sha"))
+    location = store.bronze_folder(F.col("cik"))
     versions = unique.withColumn("first_observed", moment).withColumn("bronze_path", location)
     store.write_bucketed(
         versions.select(*schemas.FACTS.names), "silver", f"run_id={run_id}"
     )
     silver = store.written(spark, schemas.FACTS, "silver", f"run_id={run_id}")
-    # At most store.buckets numbers: they prune the stored side to the touched folders.
-    touched = [r["cik_bucket"] for r in silver.select("cik_bucket").distinct().collect()]
     known = store.facts(spark, known_runs, touched)
     fresh = unseen(silver.drop("cik_bucket"), known, "fact_id")
     store.write_bucketed(fresh.select(*schemas.FACTS.names), "facts", f"run_id={run_id}")
     inserted = store.written(spark, schemas.FACTS, "facts", f"run_id={run_id}")
 
     # Distinct first: it hashes, where a maximum of text would sort every observation.
-    names = staged.select("cik", "entity_name").distinct().groupBy("cik").agg(
-        F.max("entity_name").alias("name")
-    )
+    # The document that landed last names the issuer.
+    stated = staged.select("cik", "entity_name", "landed_at", "source_sha").distinct()
+    last = F.struct(F.col("landed_at").isNotNull(), "landed_at", "source_sha")
+    names = stated.groupBy("cik").agg(F.max_by("entity_name", last).alias("name"))
     incoming = pending.join(names, "cik", "inner").select(
         "cik", "name", "ticker", "sector", "headquarters"
     ).distinct()
@@ -183,8 +232,18 @@ def ingest(
         "overwrite"
     ).parquet(store.path("history", run_id))
 
-    counts = load_ledger(silver, rejected, inserted, by="snapshot_id")
-    entries = pending.join(counts, "snapshot_id", "inner").select(
+    # Each document's own facts, also those that another one stated before.
+    stated_facts = accepted.select("snapshot_id", "fact_id").distinct()
+    counts = load_ledger(stated_facts, rejected, inserted, by="snapshot_id")
+    unread = staged.groupBy("snapshot_id").agg(*[
+        F.coalesce(F.sum(F.when(F.col("status") == status, F.col("weight"))), F.lit(0)).alias(name)
+        for name, status in (
+            ("unknown_concepts", V.UNKNOWN_CONCEPT), ("other_units", V.OTHER_UNIT),
+            ("old_periods", V.OLD_PERIOD),
+        )
+    ])
+    known_counts = pending.join(counts, "snapshot_id", "left").join(unread, "snapshot_id", "left")
+    entries = known_counts.na.fill(0).select(
         "snapshot_id", "cik", "source_sha", "source_url",
         location.alias("bronze_path"),
         F.lit(f"silver/run_id={run_id}").alias("silver_path"),
@@ -192,9 +251,10 @@ def ingest(
         F.col("accepted").alias("accepted_count"),
         F.col("rejected").alias("rejected_count"),
         F.col("inserted").alias("inserted_count"),
+        "unknown_concepts", "other_units", "old_periods",
     )
     entries.write.mode("overwrite").parquet(store.path("snapshots", f"run_id={run_id}"))
     return Load(
-        run_id, observed, loaded, skipped, inserted.count(), rejected.count(),
-        [*known_runs, run_id], run_id,
+        run_id, observed, loaded, skipped, inserted.count(), found["rejected_rows"],
+        [*known_runs, run_id], run_id, unmatched, base,
     )

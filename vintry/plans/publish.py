@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timezone
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from vintry import schemas
-from vintry.contract import MODEL_VERSION
 from vintry.operators import quality as Q
 from vintry.operators.annual import annual_financials, company_trends
 from vintry.operators.checks import check_summary
@@ -25,6 +27,17 @@ from vintry.sources.store import Store
 EXPORTED = ("dim_issuer", "annual_financials", "company_trends", "filing_revisions")
 
 
+@cache
+def model_version() -> str:
+    """A digest of the code that gives the marts their meaning.
+
+    An unchanged source is built again when it changes.
+    """
+    top = Path(__file__).parent.parent
+    sources = sorted([top / "contract.py", *(top / "functions").glob("*.py"), *(top / "operators").glob("*.py")])
+    return hashlib.sha256(b"\0".join(p.read_bytes() for p in sources)).hexdigest()[:12]
+
+
 def build_marts(spark: SparkSession, store: Store, load: Load, as_of: date) -> dict[str, DataFrame]:
     """Write each mart and build the next one on what was written."""
 
@@ -77,7 +90,11 @@ def _append(spark: SparkSession, store: Store, folder: str, row: dict, schema) -
 def publish(
     spark: SparkSession, store: Store, load: Load, as_of: date, exports: bool = True
 ) -> dict:
-    """Build and verify the release of ``load``, then append its manifest."""
+    """Build and verify the release of ``load``, then append its manifest.
+
+    Refused where another run has published since ``load`` was compared with the store:
+    its facts would be missing here.
+    """
     marts = build_marts(spark, store, load, as_of)
     passed = run_checks(spark, store, load, marts, as_of)
     totals = {
@@ -86,16 +103,25 @@ def publish(
             store.facts(spark, load.fact_runs), marts["annual_financials"], marts["filing_revisions"]
         ).collect()
     }
+    for name, report in Q.quality_report(marts["annual_financials"], marts["dim_issuer"]).items():
+        path = store.path("releases", load.run_id, "quality", name)
+        report.write.mode("overwrite").parquet(path)
+    summary = store.quality(spark, load.run_id, "summary").first()
     if exports:
         folder = store.path("releases", load.run_id, "exports", uuid.uuid4().hex)
         write_tables({name: marts[name] for name in EXPORTED}, folder)
     manifest = {
         "run_id": load.run_id, "status": "success",
         "published_at": datetime.now(timezone.utc), "filing_date_cutoff": as_of,
-        "model_version": MODEL_VERSION, "fact_runs": load.fact_runs,
+        "model_version": model_version(), "fact_runs": load.fact_runs,
         "history_run": load.history_run, "checks_passed": passed, **totals,
+        "incomplete_periods": summary["incomplete_periods"],
+        "balance_warnings": summary["balance_warnings"],
     }
     _verify(spark, store, manifest)
+    served = store.current_release(spark)
+    if (served["run_id"] if served else None) != load.base:
+        raise ContractError(f"another run has published since run {load.run_id} began")
     _append(spark, store, "manifests", manifest, schemas.RELEASE_MANIFEST)
     return manifest
 
@@ -122,6 +148,11 @@ def verify_release(spark: SparkSession, store: Store) -> Row:
     return manifest
 
 
+def serving_gauges(spark: SparkSession, store: Store) -> DataFrame:
+    """Gauges of the served release, from its manifest; without one, only that none is ready."""
+    return Q.manifest_gauges(spark, store.current_release(spark))
+
+
 def run(
     spark: SparkSession,
     store: Store,
@@ -145,7 +176,7 @@ def run(
     started = time.monotonic()
     report = {
         "run_id": run_id or uuid.uuid4().hex, "status": "running", "mode": mode,
-        "started_at": observed, "filing_date_cutoff": as_of, "model_version": MODEL_VERSION,
+        "started_at": observed, "filing_date_cutoff": as_of, "model_version": model_version(),
     }
     _append(spark, store, "reports", report, schemas.RUN_REPORT)
     try:
@@ -155,11 +186,12 @@ def run(
         report.update(
             snapshots_loaded=load.loaded, snapshots_skipped=load.skipped,
             facts_inserted=load.inserted, rejected_rows=load.rejected,
+            documents_unmatched=load.unmatched,
         )
         served = store.current_release(spark)
         same = (
             served is not None and load.loaded == 0 and not force
-            and served["model_version"] == MODEL_VERSION and served["filing_date_cutoff"] == as_of
+            and served["model_version"] == model_version() and served["filing_date_cutoff"] == as_of
         )
         if same:
             report.update(status="unchanged", published_run_id=served["run_id"])
@@ -167,7 +199,7 @@ def run(
             publisher(spark, store, load, as_of)
             report.update(status="success", published_run_id=load.run_id)
     except Exception as error:
-        report.update(status="failed", error=str(error))
+        report.update(status="failed", error=str(error), **getattr(error, "counts", {}))
         raise
     finally:
         report["elapsed_seconds"] = round(time.monotonic() - started, 3)

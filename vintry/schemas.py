@@ -69,6 +69,9 @@ SNAPSHOTS = T.StructType([
     required("accepted_count", LONG),
     required("rejected_count", LONG),
     required("inserted_count", LONG),
+    optional("unknown_concepts", LONG),
+    optional("other_units", LONG),
+    optional("old_periods", LONG),
 ])
 
 SOURCE_MANIFEST = T.StructType([
@@ -96,6 +99,8 @@ RELEASE_MANIFEST = T.StructType([
     required("annual_periods", LONG),
     required("revisions", LONG),
     required("checks_passed", LONG),
+    optional("incomplete_periods", LONG),
+    optional("balance_warnings", LONG),
 ])
 
 RUN_REPORT = T.StructType([
@@ -108,6 +113,7 @@ RUN_REPORT = T.StructType([
     optional("snapshots_skipped", LONG),
     optional("facts_inserted", LONG),
     optional("rejected_rows", LONG),
+    optional("documents_unmatched", LONG),
     optional("model_version", TEXT),
     optional("published_run_id", TEXT),
     optional("elapsed_seconds", T.DoubleType()),

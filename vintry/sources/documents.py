@@ -16,7 +16,7 @@ def content_sha(content: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON document (plain or gzipped): cik, source_url, content."""
+    """One row per JSON document (plain or gzipped): cik, source_url, landed_at, content."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return named_documents(files)
 
@@ -27,6 +27,7 @@ def named_documents(files: DataFrame) -> DataFrame:
     return files.select(
         F.nullif(F.regexp_extract(location, FILE_PATTERN, 1), F.lit("")).cast("bigint").alias("cik"),
         location.alias("source_url"),
+        F.col("_metadata.file_modification_time").alias("landed_at"),
         F.col("value").alias("content"),
     )
 

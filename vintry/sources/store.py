@@ -54,10 +54,29 @@ class Store:
         """What ``write_bucketed`` wrote, which may be no file at all."""
         return read_if_present(spark, self.path(*parts), with_folders(schema, BUCKET), "parquet")
 
-    def bronze(self, spark: SparkSession) -> DataFrame:
-        return read_if_present(
+    def bronze(self, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
+        """Archived bodies; ``buckets`` prunes the read to those folders."""
+        stored = read_if_present(
             spark, self.path("bronze"), with_folders(schemas.BRONZE, BUCKET), "parquet"
         )
+        return stored if buckets is None else stored.where(F.col("cik_bucket").isin(buckets))
+
+    def bronze_folder(self, cik: Column) -> Column:
+        """The folder, below the store, that holds an issuer's archived bodies."""
+        return F.concat(F.lit("bronze/cik_bucket="), self.bucket(cik).cast("string"))
+
+    def archived_sources(self, spark: SparkSession, facts: DataFrame) -> DataFrame:
+        """The archived body of each fact's source, and whether its digest still holds.
+
+        Meant for the facts of a look-up: their issuers' buckets, at most ``buckets``
+        numbers, prune the archive.
+        """
+        wanted = facts.select("fact_id", "cik", "source_sha")
+        rows = wanted.select(self.bucket(F.col("cik")).alias("b")).distinct().collect()
+        bodies = self.bronze(spark, [r["b"] for r in rows]).drop("cik_bucket")
+        found = wanted.join(bodies, ["cik", "source_sha"], "left")
+        intact = F.coalesce(F.sha2("content", 256) == F.col("source_sha"), F.lit(False))
+        return found.select("fact_id", "cik", "source_sha", intact.alias("intact"), "content")
 
     def facts(self, spark: SparkSession, runs: list[str], buckets: list[int] | None = None) -> DataFrame:
         """Fact versions of the named runs; other runs' folders are pruned, not read."""
@@ -84,6 +103,9 @@ class Store:
     def mart(self, spark: SparkSession, run: str, name: str) -> DataFrame:
         return spark.read.parquet(self.path("releases", run, "marts", name))
 
+    def quality(self, spark: SparkSession, run: str, name: str) -> DataFrame:
+        return spark.read.parquet(self.path("releases", run, "quality", name))
+
     def manifests(self, spark: SparkSession) -> DataFrame:
         return read_if_present(spark, self.path("manifests"), schemas.RELEASE_MANIFEST, "json")
 
@@ -125,3 +147,6 @@ class Release:
 
     def mart(self, name: str) -> DataFrame:
         return self.store.mart(self.spark, self.manifest["run_id"], name)
+
+    def quality(self, name: str) -> DataFrame:
+        return self.store.quality(self.spark, self.manifest["run_id"], name)

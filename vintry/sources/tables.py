@@ -6,17 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Use every core for a scan that has fewer splits than the session has cores.
-
-    Only small inputs are moved: a table with at least one split per core is
-    returned as it is, without a shuffle. Filters still reach the scan. Hashing a key
-    spares the sort by which a round-robin exchange makes itself repeatable.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet scan under a fixed schema; partition folders add no columns.
 
