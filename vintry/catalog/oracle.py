@@ -147,12 +147,15 @@ CTES = {
         FROM annual JOIN dim USING (cik)
         WHERE abs(assets - liabilities - equity)
           > greatest(CAST(1000 AS DECIMAL(38,7)), CAST(abs(CAST(assets AS DECIMAL(34,4))) * 0.005 AS DECIMAL(38,7)))""",
-    # Faulty documents: the number of the order line modulo 101 says what is wrong.
+    # One document per order, of its customer, with an observation per line: the number of
+    # the line modulo 101 says what is wrong with it. pos is its place among those of its
+    # concept and unit.
     "docs": """
-        SELECT *, r % 101 AS f,
-          CASE WHEN r % 101 = 15 THEN 'Other' || concept ELSE concept END AS doc_concept,
+        SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey, doc_concept, doc_unit ORDER BY idx, supplier, value, filed) - 1 AS INTEGER) AS pos
+        FROM (SELECT obs.* REPLACE (o_custkey AS cik, l_orderkey AS r), obs.r % 101 AS f, obs.cik AS supplier,
+          CASE WHEN obs.r % 101 = 15 THEN 'Other' || concept ELSE concept END AS doc_concept,
           CASE WHEN l_tax >= 0.07 THEN 'EUR' ELSE 'USD' END AS doc_unit
-        FROM obs""",
+        FROM obs JOIN orders ON l_orderkey = o_orderkey)""",
     "judged": f"""
         SELECT *, CASE
             WHEN f = 15 THEN 'unknown_concept'
@@ -177,7 +180,7 @@ CTES = {
         SELECT cik, metric, concept, kind, alias_priority, unit, period_start, period_end,
           CASE f WHEN 12 THEN CAST(-1.5 AS DECIMAL(38,4)) WHEN 16 THEN CAST(2000 AS DECIMAL(38,4))
             WHEN 17 THEN CAST('12345678901234567890123.125' AS DECIMAL(38,4)) ELSE value END AS value,
-          accession, form, filed, fiscal_year_hint, fiscal_period_hint, r
+          accession, form, filed, fiscal_year_hint, fiscal_period_hint, r, pos AS idx
         FROM judged WHERE status = 'accepted'""",
     "event_states": """
         SELECT *, sha256(concat('{"event_type":"', event_type, '","user_id":', user_id, '}')) AS attribute_hash
@@ -298,9 +301,10 @@ def _telemetry() -> str:
     return """
         , twice AS (SELECT * FROM judged UNION ALL SELECT * FROM judged WHERE r % 50 = 0)
         SELECT cik, signal, name, CAST(sum(n) AS BIGINT) AS n FROM (
-          SELECT cik, status AS signal,
-            CASE WHEN status = 'unknown_concept' THEN doc_concept ELSE '' END AS name, 1 AS n
-          FROM twice WHERE status IN ('unknown_concept', 'other_unit', 'old_period')
+          SELECT cik, status AS signal, '' AS name, 1 AS n
+          FROM twice WHERE status IN ('other_unit', 'old_period')
+          UNION ALL SELECT cik, 'unknown_concept', doc_concept, count(DISTINCT r) + count(DISTINCT r) FILTER (WHERE r % 50 = 0)
+          FROM judged WHERE status = 'unknown_concept' GROUP BY cik, doc_concept
           UNION ALL SELECT cik, 'extra_key', 'note', 1 FROM twice
           WHERE f = 14 AND doc_unit = 'USD'
           UNION ALL SELECT cik, 'duplicate_row', '', 1 FROM judged
@@ -355,15 +359,18 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'input_rows', CAST(count(*) AS DECIMAL(38,4)) FROM obs
             UNION ALL SELECT 'expected_sum', CAST(count(*) * 1000000 + sum(r) AS DECIMAL(38,4)) FROM obs""", "obs"),
         "json_flatten": sql("""
-            SELECT cik, r, doc_concept AS concept,
-              CASE WHEN f <> 15 THEN doc_unit END AS unit,
-              CASE WHEN f <> 15 AND doc_unit = 'USD' THEN 0 END AS idx, CAST(1 AS BIGINT) AS weight,
+            SELECT cik, r, doc_concept AS concept, NULL AS unit, NULL AS idx, CAST(1 AS BIGINT) AS weight,
+              NULL AS accn, NULL AS end_text, NULL AS filed_text
+            FROM docs WHERE f = 15 GROUP BY cik, r, doc_concept
+            UNION ALL SELECT cik, r, doc_concept, doc_unit, NULL, count(*), NULL, NULL, NULL
+            FROM docs WHERE f <> 15 AND doc_unit <> 'USD' GROUP BY cik, r, doc_concept, doc_unit
+            UNION ALL SELECT cik, r, doc_concept, doc_unit, pos, 1,
               CASE WHEN shown THEN CASE WHEN f = 6 THEN 'bad-id' ELSE accession END END AS accn,
               CASE WHEN shown THEN CASE WHEN f = 2 THEN concat(y, '-02-31') ELSE CAST(period_end AS VARCHAR) END END AS end_text,
               CASE WHEN shown AND f <> 3 THEN CAST(filed AS VARCHAR) END AS filed_text
-            FROM (SELECT *, f NOT IN (1, 15) AND doc_unit = 'USD' AS shown FROM docs)""", "docs"),
+            FROM (SELECT *, f <> 1 AS shown FROM docs WHERE f <> 15 AND doc_unit = 'USD')""", "docs"),
         "normalize_facts": sql(
-            f"SELECT {_identity()} AS fact_id, *, 0 AS idx FROM doc_facts", "doc_facts"),
+            f"SELECT {_identity()} AS fact_id, * FROM doc_facts", "doc_facts"),
         "filing_url": sql(f"SELECT fact_id, {URL} AS filing_url FROM facts", "facts"),
         "value_text": sql(f"SELECT fact_id, {_text('value')} AS value_text FROM facts", "facts"),
         "decimal_text_output": sql("SELECT fact_id, CAST(value AS VARCHAR) AS value FROM facts", "facts"),
@@ -380,7 +387,7 @@ def oracle_sql() -> dict[str, str]:
         "concept_map_join": sql(
             "SELECT r, concept, metric, kind, alias_priority FROM obs WHERE r % 101 <> 15", "obs"),
         "contract_rejects": sql(
-            "SELECT cik, r, doc_concept AS concept, reason FROM judged WHERE status = 'rejected'", "judged"),
+            "SELECT cik, r, doc_concept AS concept, pos AS idx, reason FROM judged WHERE status = 'rejected'", "judged"),
         "contract_reject_counts": sql(
             "SELECT reason, count(*) AS n FROM judged WHERE status = 'rejected' GROUP BY reason", "judged"),
         "telemetry": sql(_telemetry(), "judged"),

@@ -235,7 +235,7 @@ def concept_map_join(spark, d):
 
 @query
 def contract_rejects(spark, d):
-    return normalized(spark, d).where(F.col("status") == V.REJECTED).select("cik", "r", "concept", "reason")
+    return normalized(spark, d).where(F.col("status") == V.REJECTED).select("cik", "r", "concept", "idx", "reason")
 
 
 @query

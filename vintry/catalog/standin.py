@@ -44,7 +44,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
     )
     orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("y")
+        F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("y"), "o_custkey"
     )
     c = F.col
     mi = (c("l_partkey") % 10).cast("int")
@@ -84,7 +84,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("FY").alias("fiscal_period_hint"),
             (c("l_shipdate").cast("timestamp_ntz") + shifts).alias("first_observed"),
             c("l_linenumber").alias("idx"),
-            "l_orderkey", "l_tax", "y",
+            "l_orderkey", "l_tax", "y", "o_custkey",
         )
     )
 
@@ -175,10 +175,12 @@ def row_number_column() -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str, faults: bool) -> DataFrame:
-    """Each observation as its own nested JSON document, some of them faulty.
+    """One nested JSON document per order, with the customer as issuer.
 
-    With ``faults`` the number of the order line, modulo 101, decides what is wrong:
-    one row for each rule of the source contract.
+    Its lines are observations under their concepts and units, so a document holds several
+    of each, seven observations at most. With ``faults`` the number of the order line,
+    modulo 101, decides what is wrong with it: one case for each rule of the source
+    contract. ``r`` is the order's number.
     """
     obs = observations(spark, sf_dir).withColumn("r", row_number_column())
     fault = (F.col("r") % 101).cast("int") if faults else F.lit(0)
@@ -220,10 +222,31 @@ def documents(spark: SparkSession, sf_dir: str, faults: bool) -> DataFrame:
     )
     concept = F.when(f == 15, F.concat(lit("Other"), c("concept"))).otherwise(c("concept"))
     unit = F.when(lit(faults) & (c("l_tax") >= 0.07), lit("EUR")).otherwise(lit("USD"))
+    lines = obs.select(
+        "o_custkey", "l_orderkey", F.struct("idx", "cik", "value", "filed").alias("place"), concept.alias("concept"), unit.alias("unit"),
+        observation.alias("observation"),
+    )
+
+    def listed(part: Column) -> Column:
+        return F.array_join(F.array_sort(F.collect_list(part)), ",")
+
+    # All grouped within the order, by whose key the lines are dealt already.
+    document = ["o_custkey", "l_orderkey"]
+    in_order = F.array_sort(F.collect_list(F.struct("place", "observation")))
+    per_unit = lines.groupBy(*document, "concept", "unit").agg(
+        F.array_join(F.transform(in_order, lambda o: o["observation"]), ",").alias("held")
+    )
+    per_concept = per_unit.groupBy(*document, "concept").agg(
+        listed(F.concat(lit('"'), "unit", lit('":['), "held", lit("]"))).alias("units")
+    )
+    per_order = per_concept.groupBy(*document).agg(
+        listed(F.concat(lit('"'), "concept", lit('":{"units":{'), "units", lit("}}"))).alias("concepts")
+    )
+    customer = c("o_custkey").cast("string")
     content = F.concat(
-        lit('{"cik":'), c("cik").cast("string"),
-        lit(',"entityName":"Supplier '), c("cik").cast("string"),
-        lit('","facts":{"us-gaap":{"'), concept,
-        lit('":{"units":{"'), unit, lit('":['), observation, lit("]}}}}}"),
+        lit('{"cik":'), customer, lit(',"entityName":"Customer '), customer,
+        lit('","facts":{"us-gaap":{'), "concepts", lit("}}}"),
+    )
+    return per_order.select(
+        c("o_custkey").alias("cik"), c("l_orderkey").alias("r"), content.alias("content")
     )
-    return obs.select("cik", "r", content.alias("content"))

@@ -78,6 +78,27 @@ def _tally(df: DataFrame, table: str, unique: str, rules: dict[str, Column]) ->
     return counts.select(F.inline(F.array(*rows)))
 
 
+def _tally_keys(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    """Uniqueness and presence of several keys of a small dimension, in one read."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("name"), F.col(k).cast("string").alias("value")) for k in keys
+    ])).alias("k")).select("k.*")
+    copies = long.groupBy("name", "value").agg(F.count("*").alias("copies"))
+    repeated = F.col("value").isNotNull() & (F.col("copies") > 1)
+    absent = F.when(F.col("value").isNull(), F.col("copies"))
+    counts = copies.agg(*[
+        c for i, k in enumerate(keys) for c in (
+            F.count_if((F.col("name") == k) & repeated).alias(f"u{i}"),
+            F.coalesce(F.sum(F.when(F.col("name") == k, absent)), F.lit(0)).alias(f"n{i}"),
+        )
+    ])
+    rows = [
+        F.struct(F.lit(f"{table}.{k}.{rule}").alias("check_name"), F.col(f"{c}{i}").alias("failing_rows"))
+        for i, k in enumerate(keys) for rule, c in (("unique", "u"), ("not_null", "n"))
+    ]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def _counted(name: str, failing: DataFrame) -> DataFrame:
     return failing.agg(F.count("*").alias("failing_rows")).select(
         F.lit(name).alias("check_name"), "failing_rows"
@@ -105,8 +126,7 @@ def check_summary(
             "canonical_facts.no_future_evidence": future_evidence(as_of),
             "canonical_facts.no_quarterly_duration": is_duration_off_annual(),
         }),
-        _tally(issuers, "dim_issuer", "issuer_key", {}),
-        _tally(issuers, "dim_issuer", "cik", {}),
+        _tally_keys(issuers, "dim_issuer", ["issuer_key", "cik"]),
         _tally(annual, "annual_financials", "annual_key", {
             "annual_financials.revenue.not_null": c("revenue").isNull(),
             "annual_financials.nonnegative_balance": negative_balance(),
