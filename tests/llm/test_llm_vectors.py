@@ -220,7 +220,7 @@ def test_contract_names():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", ["op3_hnsw", "op4_topk", "op9_url_cascade"])
+@pytest.mark.parametrize("name", ["op2_licenses", "op3_hnsw", "op4_topk", "op9_url_cascade"])
 def test_queries_match_sql(spark, name):
     import __spark_entry__ as contract
     from compare import compare, open_tables

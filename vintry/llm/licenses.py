@@ -52,7 +52,7 @@ SENTENCES = (
     ("MPL-ref#", r"this source code form is subject to the terms of the mozilla public license v (\d+(?:\.\d+)*)"),
     ("MPL-copy", r"if a copy of the mpl was not distributed with this file you can obtain one at .*"),
     ("EPL-ref#", r".*(?:licensed|available|terms) .*the eclipse public license (?:version |v )?(\d+(?:\.\d+)*).*"),
-    ("CC0-ref", r".*(?:cc0|creative commons zero)(?: 1\.0)?(?: universal)?.*"),
+    ("CC0-ref", r"(?:.*(?:under|to|by) (?:the )?)?(?:cc0|creative commons zero)(?: 1\.0)?(?: universal)?(?: licen[cs]e)?(?: public domain dedication)?"),
     ("CC-ref#", r"(?:this work is )?(?:licensed|released|available|distributed) under (?:a |the )?(?:creative commons |cc )(by(?: nc)?(?: nd)?(?: sa)? \d\.\d)(?: international)?(?: licen[cs]e)?"),
     ("MIT-ref", r".*(?:licensed|released|available|distributed) under (?:the )?(?:terms of the )?mit licen[cs]e"),
     ("BSD-ref#", r".*(?:licensed|released|available|distributed) under (?:the )?(?:terms of the )?(?:(\d) clause )?bsd licen[cs]e"),
