@@ -174,8 +174,8 @@ def brute_components(values, linked):
     return [find(i) for i in range(len(values))]
 
 
-@pytest.mark.parametrize("n", [0, 1, 3000])
-def test_near_pairs_by_brute_force(spark, n):
+@pytest.mark.parametrize(("n", "parts"), [(0, None), (1, None), (3000, None), (1500, 2), (3000, 4)])
+def test_near_pairs_by_brute_force(spark, n, parts):
     draw = np.random.default_rng(3)
     base = draw.integers(0, 2**63, max(n // 12, 1), dtype=np.uint64) * np.uint64(2)
     values = set()
@@ -186,7 +186,7 @@ def test_near_pairs_by_brute_force(spark, n):
         values.add(x)
     signed = [x - 2**64 if x >= 2**63 else x for x in values]
     df = spark.createDataFrame([(x,) for x in signed], "fp bigint")
-    found = {(r["a"], r["b"]) for r in simhash.near_pairs(df).collect()}
+    found = {(r["a"], r["b"]) for r in simhash.near_pairs(df, parts=parts).collect()}
     one = np.array(sorted(signed), np.int64).view(np.uint64)
     expected = set()
     for i, x in enumerate(one):
@@ -326,6 +326,8 @@ IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
     (MIT, ["MIT"]),
     ("x\n" + MIT + "\nReleased under the MIT License.\nReleased under CC BY 4.0.", ["MIT", "CC-BY-4.0"]),
     ("// SPDX-License-Identifier: GPL-2.0+", ["GPL-2.0+"]),
+    ("Released under CC0 1.0 Universal.", ["CC0-1.0"]),
+    ("The key is 9fcc0a12, under no licence.", []),
     ("All rights reserved.", []),
     ("He lost his driving licence.", []),
     (None, []), ("", []),

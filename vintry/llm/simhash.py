@@ -112,7 +112,11 @@ def joint_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def partition_count(n: int, distance: int = DISTANCE) -> int:
-    """How many partitions cost least if values were spread evenly."""
+    """Two or three partitions, whichever cost less if values were spread evenly.
+
+    Two are for tens of millions of distinct fingerprints and more. With more partitions
+    the number of probes would be smaller for small tables only, and then rise with size.
+    """
 
     def cost(parts: int) -> float:
         width = BITS / parts
@@ -120,7 +124,7 @@ def partition_count(n: int, distance: int = DISTANCE) -> int:
         probes = sum(sum(comb(round(width), j) for j in range(s)) for s in shares)
         return probes * (1 + n / 2**width)
 
-    return min(range(2, distance + 2), key=cost)
+    return min((3, 2), key=cost)
 
 
 def correlated_groups(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -234,10 +238,13 @@ def allocate(costs: list[np.ndarray], distance: int = DISTANCE) -> np.ndarray:
     return thresholds
 
 
-def near_pairs(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """All pairs (a < b) of the distinct ``fp`` values within ``distance`` bits."""
+def near_pairs(distinct: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+    """All pairs (a < b) of the distinct ``fp`` values within ``distance`` bits.
+
+    ``parts``, the number of partitions, is chosen by cost; it never changes the pairs.
+    """
     n, both = joint_counts(distinct)
-    groups = correlated_groups(n, both, partition_count(n, distance))
+    groups = correlated_groups(n, both, parts or partition_count(n, distance))
     costs = [
         probe_costs(h, len(g), distance) for h, g in zip(histograms(distinct, groups), groups)
     ]
