@@ -297,17 +297,44 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(read_ranks(path), pattern)
 
 
+def _row_slices(array: pa.Array, values: int) -> list[pa.Array]:
+    """An array in slices of rows, so that a worker unpacks only a few at once."""
+    return [array.slice(at, values) for at in range(0, max(len(array), 1), values)]
+
+
+ROWS = 256  # unpacked at once
+
+
+def _encoded(texts: pa.Array, ranks_path: str, pattern: str) -> pa.Array:
+    coder, flat, sizes = byte_bpe(ranks_path, pattern), [], []
+    for part in _row_slices(texts, ROWS):
+        found = coder.encode_batch(part.to_pylist())
+        sizes += map(len, found)
+        flat += [np.concatenate(found).astype(np.int32)] if found else []
+    bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    joint = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(joint))
+
+
+def _decoded(arrays: pa.Array, ranks_path: str, pattern: str) -> pa.Array:
+    coder, data, sizes = byte_bpe(ranks_path, pattern), [], []
+    for part in _row_slices(arrays, ROWS):
+        counts = np.nan_to_num(part.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        out, ends = coder.decode_flat(part.flatten().to_numpy(zero_copy_only=False))
+        sizes.append(np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]))
+        data.append(out.tobytes())
+    bounds = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+    buffers = [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(b"".join(data))]
+    return pa.Array.from_buffers(pa.binary(), len(arrays), buffers)
+
+
 def encode(
     df: DataFrame, ranks_path: str, pattern: str, text_column: str = "text", ids_column: str = "ids"
 ) -> DataFrame:
     """Add an array of ids; a column of its name is replaced."""
 
     def encoded(texts: pa.Array) -> pa.Array:
-        found = byte_bpe(ranks_path, pattern).encode_batch(texts.to_pylist())
-        bounds = np.concatenate(([0], np.cumsum([len(ids) for ids in found]))).astype(np.int32)
-        flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
-        return pa.StructArray.from_arrays([ids], [ids_column])
+        return pa.StructArray.from_arrays([_encoded(texts, ranks_path, pattern)], [ids_column])
 
     return append(df, encoded, [text_column], f"`{ids_column}` array<int>")
 
@@ -318,13 +345,25 @@ def decode(
     """Add the bytes that the ids stand for; a column of its name is replaced."""
 
     def decoded(arrays: pa.Array) -> pa.Array:
-        arrays = arrays.combine_chunks() if isinstance(arrays, pa.ChunkedArray) else arrays
-        flat = arrays.flatten().to_numpy(zero_copy_only=False)
-        out, ends = byte_bpe(ranks_path, pattern).decode_flat(flat)
-        sizes = np.nan_to_num(arrays.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int32)
-        buffers = [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(out.tobytes())]
-        data = pa.Array.from_buffers(pa.binary(), len(arrays), buffers)
-        return pa.StructArray.from_arrays([data], [bytes_column])
+        return pa.StructArray.from_arrays([_decoded(arrays, ranks_path, pattern)], [bytes_column])
 
     return append(df, decoded, [ids_column], f"`{bytes_column}` binary")
+
+
+def round_trip(
+    df: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    text_column: str = "text",
+    ids_column: str = "ids",
+    bytes_column: str = "decoded",
+) -> DataFrame:
+    """``encode`` and ``decode`` in turn, in one Python worker instead of two."""
+
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _encoded(texts, ranks_path, pattern)
+        return pa.StructArray.from_arrays(
+            [ids, _decoded(ids, ranks_path, pattern)], [ids_column, bytes_column]
+        )
+
+    return append(df, both, [text_column], f"`{ids_column}` array<int>, `{bytes_column}` binary")

@@ -58,10 +58,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(_texts(spark, sf_dir), BYTE_RANKS, pattern).select("doc_id", "ids")
+    coded = byte_bpe.round_trip(_texts(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return byte_bpe.decode(encoded, BYTE_RANKS, pattern).select(
+    return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),
