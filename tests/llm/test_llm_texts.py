@@ -341,6 +341,125 @@ def test_licences(spark, text, expected):
         assert got["unmatched"] == 1
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{more}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."""
+ADVERT = """
+3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement: This product includes software.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+GNU = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation; either version {number} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+NOTICES = [
+    ("""Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, and to permit persons to whom the Software
+is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY.""", "MIT", 4),
+    ("""Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE.""", "ISC", 2),
+    (BSD.format(more=""), "BSD-2-Clause", 5),
+    (BSD.replace("1. ", "* ").replace("2. ", "* ").format(more=ENDORSE.replace("3. ", "* ")), "BSD-3-Clause", 6),
+    (BSD.format(more=ADVERT + ENDORSE), "BSD-4-Clause", 7),
+    ("""Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""", "Apache-2.0", 5),
+    ("""The ASF licenses this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License.""", "Apache-2.0", 2),
+    (GNU.format(kind="", number=2), "GPL-2-or-later", 2),
+    (GNU.format(kind="Lesser ", number=2.1), "LGPL-2.1", 2),
+    (GNU.format(kind="Affero ", number=3), "AGPL-3", 2),
+    ("""This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file,
+You can obtain one at https://mozilla.org/MPL/2.0/.""", "MPL-2.0", 2),
+    ("""This Source Code Form is subject to the terms of the Mozilla Public License, v.
+2.0. If a copy of the MPL was not distributed with this file, You can obtain one
+at https://mozilla.org/MPL/2.0/.""", "MPL-2.0", 2),
+    ("""All rights reserved. This program and the accompanying materials are made
+available under the terms of the Eclipse Public License v1.0 which accompanies
+this distribution.""", "EPL-1.0", 2),
+    ("""This work is licensed under a Creative Commons
+Attribution-NonCommercial-ShareAlike 4.0 International License.""", "CC-BY-NC-SA-4.0", 1),
+    ("This work is licensed under the Creative Commons Attribution 3.0 Unported License.", "CC-BY-3.0", 1),
+    ("Released under the\nMIT License.", "MIT", 1),
+    ("Distributed under the terms of the 3-Clause\nBSD license.", "BSD-3", 1),
+    ("It is released under the ISC license.", "ISC", 1),
+    ("This work is marked with CC0 1.0 Universal.", "CC0-1.0", 1),
+    ("""This is free and unencumbered software released into the public
+domain.""", "Unlicense", 1),
+    ("This table was placed in the\npublic domain.", "Public-domain", 1),
+    ("SPDX-License-Identifier: BSL-1.0", "BSL-1.0", 1),
+    ("Not mine. Available under the GNU General Public License, version 3.", "GPL-3", 1),
+]
+
+
+@pytest.mark.parametrize("form", [
+    lambda t: t,
+    lambda t: "x\n" + "\n".join(x for x in t.split("\n") if x) + "\ny",
+    lambda t: "Copyright 2020 A. Person " + " ".join(t.split()) + " More text.",
+    lambda t: "/*\n" + "\n".join((" * " + x).rstrip() for x in t.split("\n")) + "\n */\nint main;",
+    lambda t: "\n".join(("// " + x).rstrip() for x in t.split("\n")) + "\nint main;",
+    lambda t: "\n".join("# " + x for x in t.split("\n") if x) + "\nimport os",
+], ids=["plain", "no blank lines", "flattened", "starred", "slashed", "hashed"])
+@pytest.mark.parametrize(("notice", "licence", "n"), NOTICES, ids=[f"{i}-{x[1]}" for i, x in enumerate(NOTICES)])
+def test_real_notices(form, notice, licence, n):
+    text = form(notice)
+    found = licenses.identified(text)
+    matched, _ = licenses.licences(found)
+    assert [m[0] for m in matched] == [licence], (found, text)
+    assert len(found) == n, (found, text)
+    for (a, b, _), (c, _, _) in zip(found, [*found[1:], (len(text), 0, 0)]):
+        assert 0 <= a < b <= c
+
+
+def test_notices_in_one_run_are_kept_apart():
+    text = "Released under the MIT License\nThis part is licensed under the GNU General Public License, version 3\nAll rights reserved"
+    assert [name for _, _, name in licenses.identified(text)] == ["MIT-ref", "GPL-ref#:3", "Rights-reserved"]
+
+
 def test_every_licence_sentence_has_a_mark():
     names = {name for name, _ in licenses.SENTENCES}
     assert {p.removesuffix("?") for _, parts in licenses.RULES for p in parts} <= names
