@@ -460,6 +460,15 @@ def test_notices_in_one_run_are_kept_apart():
     assert [name for _, _, name in licenses.identified(text)] == ["MIT-ref", "GPL-ref#:3", "Rights-reserved"]
 
 
+def test_long_block_without_full_stops_is_read_in_linear_time():
+    import time
+
+    text = "\n".join(f"item {i} available in version {i}, any place" for i in range(20_000)) + "\nmusic commons"
+    start = time.process_time()
+    assert licenses.identified(text) == []
+    assert time.process_time() - start < 20
+
+
 def test_every_licence_sentence_has_a_mark():
     names = {name for name, _ in licenses.SENTENCES}
     assert {p.removesuffix("?") for _, parts in licenses.RULES for p in parts} <= names
