@@ -93,6 +93,25 @@ def test_beam_widens_until_the_audit_passes():
     assert all((np.flatnonzero(x @ x[i] >= 0.98) == f).all() for i, f in enumerate(found))
 
 
+def planted(n, dim, pairs, seed):
+    """Far vectors, and a few near copies among them, in two halves."""
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(2, n, dim))
+    at = draw.permutation(n)[:pairs]
+    x[1, at] = x[0, at] + 0.1 * draw.normal(size=(pairs, dim))
+    return hnsw._unit(x[0]), hnsw._unit(x[1])
+
+
+def test_audit_draws_until_links_were_met():
+    a, b = planted(900, 16, 9, 5)
+    graph = hnsw.Graph.build(b.astype(np.float32))
+    # With the links at the bottom cut the search finds next to nothing.
+    graph.bottom[:] = -1
+    found = hnsw._searched(graph, b, a, 0.98, 4, hnsw._drawn(len(a)))
+    assert [f.tolist() for f in found] == [np.flatnonzero(b @ q >= 0.98).tolist() for q in a]
+    assert hnsw._own_beam(graph, b, 0.98, 4) >= len(b)
+
+
 def test_graph_survives_its_bytes():
     x = hnsw._unit(cluster(500, 8, 0.5, 3).astype(np.float64)).astype(np.float32)
     graph = hnsw.Graph.build(x)

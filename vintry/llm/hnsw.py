@@ -2,15 +2,19 @@
 
 Vectors are dealt to shards of bounded size within their label. Each shard builds a graph:
 every vector is linked to diverse near ones, a few vectors also on higher, sparser levels.
-Every block of vectors queries every shard of its label: down the levels, a beam search at
-the bottom, then from what lies within the threshold on to linked vectors within it, until
-no more turn up. A sample of each block's queries is audited against all vectors of the
-shard; while the audit finds links that were missed, the beam is doubled and the block
-searched again. A beam as wide as the shard looks at every vector, so this ends.
-
-Found links are verified by cosine in double precision. A task reports per query how many
-links it has and, of all links, only a spanning forest: the same components with at most
-one edge per vector instead of every pair of a large group.
+Every shard queries itself and every other shard of its label: down the levels, a beam
+search at the bottom, then from what lies within the threshold on to linked vectors within
+it, until no more turn up. Queries are audited against all vectors of the shard, in the
+order of a fixed draw, until ``AUDITED_LINKS`` true links to other vectors were met or all
+queries are through, whose links are then exact; while the search misses links of the
+audited, its beam is doubled. A beam as wide as the shard looks at every vector, so this
+ends. No search begins with a beam narrower than the one that finds a sample of the shard's
+own vectors.
+
+Found links are verified by cosine in double precision. A task takes a pair of shards in
+both directions; what one direction finds counts for both ends. It reports per vector how
+many links it has and, of all links, only a spanning forest: the same components with at
+most one edge per vector instead of every pair of a large group.
 
 Equal vectors of a label are one node from the start, with their number.
 
@@ -24,6 +28,7 @@ names written are replaced.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from math import log
 
 import numpy as np
@@ -41,7 +46,8 @@ SHARD_ROWS = 16_384
 LINKS = 12  # per vector and level; twice as many at the bottom
 BUILD_BEAM = 48
 BEAM = 24
-AUDITED = 64  # queries of each block
+AUDITED = 64  # queries of a shard's own vectors, and those drawn at once
+AUDITED_LINKS = 256  # to be met by the queries drawn for a search
 RECALL = 1.0  # of the audited links
 # The search takes in a little below the threshold, as it works in single precision.
 SLACK = 1e-4
@@ -227,44 +233,97 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _searched(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, beam: int, audit: np.ndarray):
-    """Verified links of every query, with beams widened until the audited ones miss none."""
-    single = queries.astype(np.float32)
+def _truth(exact: np.ndarray, queries: np.ndarray, some: np.ndarray, threshold: float) -> dict[int, np.ndarray]:
+    """All links of some queries."""
+    near = exact @ queries[some].T >= threshold
+    return {int(i): np.flatnonzero(near[:, k]) for k, i in enumerate(some)}
 
-    def verified(i: int, found: np.ndarray) -> np.ndarray:
-        return np.sort(found[exact[found] @ queries[i] >= threshold])
 
-    truth = {int(i): np.flatnonzero(exact @ queries[i] >= threshold) for i in audit}
+def _passing(graph: Graph, single: np.ndarray, truth: dict[int, np.ndarray], threshold: float, beam: int) -> int:
+    """The beam, doubled until the search misses none of the true links."""
     expected = sum(map(len, truth.values()))
-    while True:
-        got = {i: verified(i, graph.within(single[i], threshold - SLACK, beam)) for i in truth}
-        hit = sum(len(np.intersect1d(got[i], truth[i])) for i in truth)
-        if hit >= RECALL * expected or beam >= len(exact):
+    while beam < len(graph.vectors):
+        hit = sum(
+            len(np.intersect1d(graph.within(single[i], threshold - SLACK, beam), links)) for i, links in truth.items()
+        )
+        if hit >= RECALL * expected:
             break
         beam *= 2
-    return [
-        got[i] if i in got else verified(i, graph.within(single[i], threshold - SLACK, beam))
-        for i in range(len(queries))
-    ]
+    return beam
 
 
-def _forest(edges: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """A spanning forest of the links (node, its neighbours)."""
-    parent: dict[int, int] = {}
+def _own_beam(graph: Graph, exact: np.ndarray, threshold: float, beam: int) -> int:
+    """The beam that finds a sample of the shard's own vectors and what they link with."""
+    some = np.unique(np.linspace(0, len(exact) - 1, AUDITED).astype(int))
+    return _passing(graph, graph.vectors, _truth(exact, exact, some, threshold), threshold, beam)
 
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
 
-    kept = []
-    for node, near in edges:
-        for other in near.tolist():
-            a, b = root(node), root(other)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                kept.append((node, other))
-    return kept
+def _searched(
+    graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, beam: int, audit: np.ndarray, own: bool = False
+) -> Iterator[np.ndarray]:
+    """Verified links of every query, with beams widened until the audited ones miss none.
+
+    ``audit`` is the order in which queries are drawn; ``own`` tells that every query is
+    itself one of the vectors, which says nothing of its links.
+    """
+    single = queries.astype(np.float32)
+    truth: dict[int, np.ndarray] = {}
+    for at in range(0, len(audit), AUDITED):
+        truth |= _truth(exact, queries, audit[at : at + AUDITED], threshold)
+        if sum(map(len, truth.values())) - own * len(truth) >= AUDITED_LINKS:
+            break
+    if len(truth) < len(queries):
+        beam = _passing(graph, single, truth, threshold, beam)
+    for i in range(len(queries)):
+        if i in truth:
+            yield truth[i]
+        else:
+            found = graph.within(single[i], threshold - SLACK, beam)
+            yield np.sort(found[exact[found] @ queries[i] >= threshold])
+
+
+def _drawn(n: int) -> np.ndarray:
+    """All queries in the order of a fixed draw."""
+    return np.random.default_rng(n).permutation(n)
+
+
+def _linked(a: tuple[Graph, np.ndarray, int], b: tuple[Graph, np.ndarray, int], threshold: float, own: bool) -> np.ndarray:
+    """The links between two shards (graph, vectors, beam), as found from either side: a row
+    of bits for every vector of ``a``, a bit for every one of ``b``."""
+    (graph_a, exact_a, beam_a), (graph_b, exact_b, beam_b) = a, b
+    bits = np.zeros((len(exact_a), -(-len(exact_b) // 8)), np.uint8)
+    for i, near in enumerate(_searched(graph_b, exact_b, exact_a, threshold, beam_b, _drawn(len(exact_a)), own)):
+        np.bitwise_or.at(bits[i], near >> 3, (128 >> (near & 7)).astype(np.uint8))
+        if own:
+            bits[near, i >> 3] |= np.uint8(128 >> (i & 7))
+    if own:
+        every = np.arange(len(exact_a))
+        bits[every, every >> 3] &= (255 ^ (128 >> (every & 7))).astype(np.uint8)
+    else:
+        for j, near in enumerate(_searched(graph_a, exact_a, exact_b, threshold, beam_a, _drawn(len(exact_b)))):
+            bits[near, j >> 3] |= np.uint8(128 >> (j & 7))
+    return bits
+
+
+def _reduced(
+    bits: np.ndarray, times_a: np.ndarray, times_b: np.ndarray, own: bool
+) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """A spanning forest of the links (row, column), and how many rows of the table each
+    vector of either side is linked with."""
+    n, m = len(times_a), len(times_b)
+    at_b = 0 if own else n
+    group = np.arange(n + (0 if own else m))
+    kept, count_a, count_b = [], np.zeros(n, np.int64), np.zeros(m, np.int64)
+    for i in np.flatnonzero(bits.any(axis=1)).tolist():
+        near = np.flatnonzero(np.unpackbits(bits[i], count=m))
+        count_a[i] = times_b[near].sum()
+        count_b[near] += times_a[i]
+        groups, first = np.unique(group[near + at_b], return_index=True)
+        for g, k in zip(groups.tolist(), first.tolist()):
+            if g != group[i]:
+                kept.append((i, int(near[k])))
+                group[group == g] = group[i]
+    return kept, count_a, count_b
 
 
 def _shards(nodes: DataFrame, shard_rows: int) -> DataFrame:
@@ -279,12 +338,12 @@ def _shards(nodes: DataFrame, shard_rows: int) -> DataFrame:
 
 _BLOCKS = (
     "label string, dim int, shard int, shards int, nodes binary, times binary, vectors binary, "
-    "bottom binary, upper binary"
+    "beam int, bottom binary, upper binary"
 )
 
 
-def _built(nodes: DataFrame, shard_rows: int) -> DataFrame:
-    """One row per shard: its nodes, how many rows each stands for, vectors and graph."""
+def _built(nodes: DataFrame, shard_rows: int, threshold: float, beam: int) -> DataFrame:
+    """One row per shard: its nodes, how many rows each stands for, vectors, graph and beam."""
 
     def build(pdf):
         import pandas as pd
@@ -292,13 +351,15 @@ def _built(nodes: DataFrame, shard_rows: int) -> DataFrame:
         pdf = pdf.sort_values("node")
         vectors = _unit(np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1))
         first = pdf.iloc[0]
+        graph = Graph.build(vectors.astype(np.float32))
         return pd.DataFrame([{
             "label": first["label"], "dim": first["dim"], "shard": first["shard"],
             "shards": first["shards"],
             "nodes": pdf["node"].to_numpy(np.int64).tobytes(),
             "times": pdf["times"].to_numpy(np.int64).tobytes(),
             "vectors": vectors.tobytes(),
-            **Graph.build(vectors.astype(np.float32)).to_bytes(),
+            "beam": _own_beam(graph, vectors, threshold, beam),
+            **graph.to_bytes(),
         }])
 
     ship(nodes.sparkSession)
@@ -307,38 +368,40 @@ def _built(nodes: DataFrame, shard_rows: int) -> DataFrame:
     return dealt.repartition(tasks, "label", "dim", "shard").groupBy("label", "dim", "shard").applyInPandas(build, _BLOCKS)
 
 
-def _found(blocks: DataFrame, threshold: float, beam: int) -> DataFrame:
+def _found(blocks: DataFrame, threshold: float) -> DataFrame:
     """(a, b, n): spanning links (n null), and per node its number of linked rows (b null)."""
 
+    def shard(r, side):
+        nodes, times = (np.frombuffer(r[side + c], np.int64) for c in ("nodes", "times"))
+        exact = np.frombuffer(r[side + "vectors"]).reshape(len(nodes), r["dim"])
+        graph = Graph.from_bytes(exact.astype(np.float32), r[side + "bottom"], r[side + "upper"])
+        return nodes, times, (graph, exact, r[side + "beam"])
+
     def search(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                nodes, queries = (np.frombuffer(r[c], np.int64) for c in ("nodes", "q_nodes"))
-                exact = np.frombuffer(r["vectors"]).reshape(len(nodes), r["dim"])
-                asked = np.frombuffer(r["q_vectors"]).reshape(len(queries), r["dim"])
-                times = np.frombuffer(r["times"], np.int64)
-                graph = Graph.from_bytes(exact.astype(np.float32), r["bottom"], r["upper"])
-                audit = np.unique(np.linspace(0, len(queries) - 1, AUDITED).astype(int))
-                links, counts = [], np.zeros(len(queries), np.int64)
-                for i, near in enumerate(_searched(graph, exact, asked, threshold, beam, audit)):
-                    near = near[nodes[near] != queries[i]]
-                    counts[i] = times[near].sum()
-                    links.append((int(queries[i]), nodes[near]))
-                a, b = zip(*_forest(links)) if any(len(x) for _, x in links) else ((), ())
-                some = np.flatnonzero(counts)
+                own = r["shard"] == r["q_shard"]
+                nodes_a, times_a, a = shard(r, "q_")
+                nodes_b, times_b, b = (nodes_a, times_a, a) if own else shard(r, "")
+                kept, count_a, count_b = _reduced(_linked(a, b, threshold, own), times_a, times_b, own)
+                counts = [(nodes_a, count_a)] if own else [(nodes_a, count_a), (nodes_b, count_b)]
+                some = [(n[c > 0], c[c > 0]) for n, c in counts]
+                ends = np.concatenate([n for n, _ in some]).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*a, *queries[some].tolist()], pa.int64()),
-                        pa.array([*b, *[None] * len(some)], pa.int64()),
-                        pa.array([*[None] * len(a), *counts[some].tolist()], pa.int64()),
+                        pa.array([*[int(nodes_a[i]) for i, _ in kept], *ends], pa.int64()),
+                        pa.array([*[int(nodes_b[j]) for _, j in kept], *[None] * len(ends)], pa.int64()),
+                        pa.array([*[None] * len(kept), *np.concatenate([c for _, c in some]).tolist()], pa.int64()),
                     ],
                     ["a", "b", "n"],
                 )
 
-    each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    # Each pair of shards once.
+    each = F.explode(F.sequence(F.col("shard"), F.col("shards") - 1))
+    sides = ["nodes", "times", "vectors", "beam", "bottom", "upper"]
     asking = blocks.select(
         "label", "dim", each.alias("shard"), F.col("shard").alias("q_shard"),
-        F.col("nodes").alias("q_nodes"), F.col("vectors").alias("q_vectors"),
+        *[F.col(c).alias(f"q_{c}") for c in sides],
     )
     # Few rows, much work each: dealt by key to as many tasks as the session has.
     tasks = max(2, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -381,8 +444,8 @@ def near_duplicates(
     nodes = checkpointed(
         nodes.withColumn("lowest", F.col("node")).withColumn("node", F.monotonically_increasing_id())
     )
-    blocks = checkpointed(_built(nodes, shard_rows))
-    found = checkpointed(_found(blocks, threshold, beam))
+    blocks = checkpointed(_built(nodes, shard_rows, threshold, beam))
+    found = checkpointed(_found(blocks, threshold))
     linked = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     reached = components(found.where("b is not null"), "a", "b")
     members = (
