@@ -112,6 +112,41 @@ def test_audit_draws_until_links_were_met():
     assert hnsw._own_beam(graph, b, 0.98, 4) >= len(b)
 
 
+@pytest.mark.parametrize("own", [False, True])
+def test_a_link_found_from_one_side_counts_for_both(monkeypatch, own):
+    x = hnsw._unit(cluster(300, 8, 0.05, 7).astype(np.float64))
+    a, b = (x, x) if own else (x[:140], x[140:])
+    true = a @ b.T >= 0.98
+    if own:
+        np.fill_diagonal(true, False)
+    calls = []
+
+    def half(graph, exact, queries, *rest):
+        """From one side all links are found; in the own shard from lower to higher ones."""
+        calls.append(len(queries))
+        for i, q in enumerate(queries):
+            near = np.flatnonzero(exact @ q >= 0.98)
+            yield near[near >= i] if own else near if len(calls) == 1 else near[:0]
+
+    monkeypatch.setattr(hnsw, "_searched", half)
+    bits = hnsw._linked((None, a, 1), (None, b, 1), 0.98, own)
+    kept, count_a, count_b = hnsw._reduced(bits, np.full(len(a), 2), np.full(len(b), 3), own)
+    assert count_a.tolist() == (3 * true.sum(axis=1)).tolist() and count_b.tolist() == (2 * true.sum(axis=0)).tolist()
+    shift = 0 if own else len(a)
+    parts = brute_groups(len(a) + (0 if own else len(b)), [(i, j + shift) for i, j in zip(*np.nonzero(true))])
+    assert brute_groups(len(parts), [(i, j + shift) for i, j in kept]) == parts
+    assert len(kept) == len(parts) - len(set(parts))
+
+
+def brute_groups(n, pairs):
+    group = list(range(n))
+    for a, b in pairs:
+        if group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+    return group
+
+
 def test_graph_survives_its_bytes():
     x = hnsw._unit(cluster(500, 8, 0.5, 3).astype(np.float64)).astype(np.float32)
     graph = hnsw.Graph.build(x)
