@@ -290,6 +290,26 @@ def test_classifiers(spark, labelled, awkward, nothing, operator, label, limit):
     assert operator(nothing, labels, label).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 6, 12])
+def test_few_toxic_labels_still_teach(spark, n):
+    draw = random.Random(n)
+    words = ["".join(draw.choice(["an", "the", "ro", "li", "tem"]) for _ in range(3)) for _ in range(200)]
+    rows = []
+    for i in range(400):
+        text = [draw.choice(words) for _ in range(60)]
+        if i % 2:
+            for w in ("idiot", "scum", "you", "moron"):
+                text.insert(draw.randrange(60), w)
+        rows.append((i, " ".join(text), i % 2))
+    learnable = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    taught = [i for i in learnable if i % 2][:n] + [i for i in learnable if not i % 2][:60]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, truth int").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in taught], "doc_id bigint, toxic int")
+    found = toxicity.scored(docs, labels).where("held_out").collect()
+    right = np.mean([r["predicted"] == r["truth"] for r in found])
+    assert right > 0.9 if n > 1 else len({r["score"] for r in found}) > 1
+
+
 def test_boosting_and_calibration():
     draw = np.random.default_rng(2)
     x = draw.random((2000, 4))

@@ -5,11 +5,15 @@ words and word beginnings that are much more frequent in toxic documents), how n
 persons stand to their words, capitals, punctuation and disguised spellings. The learnt
 lexicon comes from one half of a bounded sample of labelled documents and the trees are
 boosted on the other, so that words which are frequent there by chance earn no weight.
-Margins of folds left out in turn calibrate the score by isotonic regression, with the
-classes weighted as in all labels.
-
-Defined results: null and empty texts have features of zero and a score like others; with
-one class only, or no label, all get the same score, by the counts of labels (add-one);
+Where a class has too few documents to be halved, the lexicon stays empty and the trees are
+boosted on the whole sample, over the fixed features, with both classes of equal weight.
+Margins of folds left out in turn, each with both classes to learn from, calibrate the score
+by isotonic regression, with the classes weighted as in all labels. With a single document
+of a class there are no such folds, and the model's own margins calibrate it.
+
+Defined results: null and empty texts have features of zero and a score like others; where
+no labelled document is found, or only documents of one class, all get the same score, by
+the counts of labels (add-one);
 repeated rows score alike; an empty table gives no rows. Labels, ids and other columns
 never enter a score. Scoring is one pass without a shuffle over whole texts.
 """
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintry.llm.boosting import Boosted, Isotonic, boost, isotonic
+from vintry.llm.boosting import LEAST_WEIGHT, Boosted, Isotonic, boost, isotonic
 from vintry.llm.columns import append
 from vintry.llm.sampling import class_counts, held_out, labelled_sample, usable_labels
 
@@ -194,11 +198,24 @@ def _described(texts: pa.Array, learnt: Lexicon) -> pa.Array:
 
 
 def train(x: np.ndarray, y: np.ndarray, weights: np.ndarray, learnt: Lexicon) -> Model:
+    """Trees and their calibration, at any number of rows of two classes."""
+    rows = int(min((y == 0).sum(), (y == 1).sum()))
     fold = np.arange(len(y)) % FOLDS
-    margins = np.empty(len(y))
-    for k in range(FOLDS):
-        margins[fold == k] = boost(x[fold != k], y[fold != k], weights[fold != k]).margins(x[fold == k])
-    return Model(learnt, boost(x, y, weights), isotonic(margins, y, weights))
+    grown = weights
+    if rows < 2 * FOLDS:
+        # Leaves have a least weight, so the trees see classes of equal weight; the curve
+        # does not. The few rows of a class are dealt evenly to the folds.
+        grown = np.empty(len(y))
+        for label in (0, 1):
+            own = y == label
+            grown[own] = max(len(y) / 2, 4 * LEAST_WEIGHT) / own.sum()
+            fold[own] = np.arange(own.sum()) % min(FOLDS, max(rows, 2))
+    whole = boost(x, y, grown)
+    margins = whole.margins(x)
+    if rows > 1:
+        for k in np.unique(fold):
+            margins[fold == k] = boost(x[fold != k], y[fold != k], grown[fold != k]).margins(x[fold == k])
+    return Model(learnt, whole, isotonic(margins, y, weights))
 
 
 def fit(
@@ -215,15 +232,18 @@ def fit(
     sample = labelled_sample(docs, usable, per_class, id_column, text_column).persist()
     try:
         first_half = F.pmod(F.xxhash64(F.lit("half"), "__id"), F.lit(2)) == 0
-        learnt = learnt_terms(sample.where(first_half))
-        rows = append(sample.where(~first_half), lambda texts: _described(texts, learnt), ["text"], "x array<double>")
+        second = [F.count(F.when((F.col("y") == y) & ~first_half, 1)) for y in (0, 1)]
+        halved = min(sample.agg(*second).first()) >= 2 * FOLDS
+        learnt = learnt_terms(sample.where(first_half)) if halved else Lexicon()
+        rest = sample.where(~first_half) if halved else sample
+        rows = append(rest, lambda texts: _described(texts, learnt), ["text"], "x array<double>")
         # Ordered by a hash, so that the folds are alike.
         table = rows.select(F.xxhash64("__id").alias("h"), "__id", "y", "x").toArrow()
     finally:
         sample.unpersist()
     table = table.sort_by([("h", "ascending"), ("__id", "ascending")])
     y = np.array(table["y"].to_pylist(), np.float64)
-    if not len(y) or y.min() == y.max() or min((y == 0).sum(), (y == 1).sum()) < 2 * FOLDS:
+    if not len(y) or y.min() == y.max():
         return Model(Lexicon(), None, None, (ones + 1) / (zeros + ones + 2))
     x = np.array(table["x"].to_pylist())
     weights = np.where(y == 1, ones / (y == 1).sum(), zeros / (y == 0).sum())
