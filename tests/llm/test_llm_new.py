@@ -165,6 +165,7 @@ def test_encoder_is_the_library_for_feeds_of_any_size(library):
         wanted = library.encode(text, add_special_tokens=False).ids
         for feed in (1, 3, 19, 1 << 16):
             assert stream_bpe.encode_text(shared, text, feed).tolist() == wanted, (feed, text)
+        assert stream_bpe.encode_texts(shared, [None, text, "", "a" + text])[1].tolist() == wanted
         assert stream_bpe.decode_ids(WORDS, wanted, 7) == library.decode(wanted, skip_special_tokens=False)
 
 
@@ -194,12 +195,14 @@ def test_lookahead_is_sufficient_and_needed():
                 tokens.append("".join(pair))
         ahead = stream_bpe.sufficient_lookahead(pairs, set("abc"))
         ids = {t: i for i, t in enumerate(tokens)}
-        merges = stream_bpe.Merges.__new__(stream_bpe.Merges)
-        merges.ranks = {(ids[a], ids[b]): (r, ids[a + b]) for r, (a, b) in enumerate(pairs)}
+        merges = stream_bpe.Merges(pairs, ids)
+        assert merges.lookahead == ahead
         for _ in range(60):
             text = "".join(draw.choice("abc") for _ in range(40))
             more = text + "".join(draw.choice("abc") for _ in range(12))
             short, long = (merges.run([ids[c] for c in t]) for t in (text, more))
+            pieces = [[ids[c] for c in t] for t in (text, more, text[:1], text[:7])]
+            assert merges.run_many(pieces) == [merges.run(p)[0] for p in pieces]
             stable = [(t, e) for t, e in zip(*short) if e <= len(text) - ahead]
             assert list(zip(*long))[: len(stable)] == stable
     assert stream_bpe.sufficient_lookahead([("a", "b"), ("b", "c")], set("abc")) == 1

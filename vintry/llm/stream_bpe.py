@@ -33,6 +33,7 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -40,12 +41,12 @@ from vintry.llm.columns import append
 from vintry.llm.segments import SegmentTable
 
 FEED = 1 << 16  # characters, or ids, given to a machine at once
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 CACHED_BYTES = 128  # longer words are streamed, never kept
 ROWS = 128  # unpacked at once
+JOINED = 1 << 18  # characters of whole texts looked up together
 
 _BLANK = re.compile(r"[\t-\r ]")
-_WORD = re.compile(rb"[^\t-\r ]+")
 _REPLACED = "�"
 
 
@@ -74,51 +75,129 @@ def sufficient_lookahead(merges: list[tuple[str, str]], base: set[str]) -> int:
 class Merges:
     """The merge list over symbol ids, with its lookahead."""
 
-    def __init__(self, model: dict):
-        ids = model["vocab"]
-        suffix = model["end_of_word_suffix"] or ""
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    def __init__(self, pairs: list[tuple[str, str]], ids: dict[str, int]):
         made = {a + b for a, b in pairs}
         self.lookahead = sufficient_lookahead(pairs, set(ids) - made)
-        self.longest = max((len(t) for t in made), default=1)
-        self.ranks = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        letters = byte_letters()
-        self.inner = {letters[b]: ids[letters[b]] for b in range(256)}
-        self.last = {letters[b]: ids[letters[b] + suffix] for b in range(256)}
+        self.longest = max(map(len, made), default=1)
+        self.ranks = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [ids[a + b] for a, b in pairs]
+        self.made_array = np.array(self.made, np.int64)
+        self.pairs = PairTable(self.ranks)
 
     def run(self, symbols: list[int]) -> tuple[list[int], list[int]]:
         """Tokens of a window, and where each ends: lowest rank first, leftmost of equals."""
         n = len(symbols)
-        ranks = self.ranks
+        ranks, names = self.ranks, self.made
         token, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            found = ranks.get((token[i], token[i + 1]))
-            if found:
-                queue.append((found[0], i, found[1]))
+        queue = [
+            (rank, i) for i in range(n - 1) if (rank := ranks.get((token[i], token[i + 1]))) is not None
+        ]
         heapq.heapify(queue)
         while queue:
-            rank, i, made = heapq.heappop(queue)
+            rank, i = heapq.heappop(queue)
             j = after[i]
-            if token[i] < 0 or j >= n or ranks.get((token[i], token[j]), _NEVER)[0] != rank:
+            if token[i] < 0 or j >= n or ranks.get((token[i], token[j])) != rank:
                 continue
+            made = names[rank]
             token[i], token[j] = made, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 found = ranks.get((made, token[k]))
-                if found:
-                    heapq.heappush(queue, (found[0], i, found[1]))
+                if found is not None:
+                    heapq.heappush(queue, (found, i))
             h = before[i]
             if h >= 0:
                 found = ranks.get((token[h], made))
-                if found:
-                    heapq.heappush(queue, (found[0], h, found[1]))
+                if found is not None:
+                    heapq.heappush(queue, (found, h))
         places = [i for i in range(n) if token[i] >= 0]
         return [token[i] for i in places], [after[i] for i in places]
 
+    def run_many(self, pieces: list[list[int]]) -> list[list[int]]:
+        """The same tokens for many short pieces, one merge of each at a time, in step."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        found: list[list[int]] = [[]] * len(pieces)
+        # Like lengths together, so that little of each block is padding.
+        order = np.argsort(sizes, kind="stable")
+        for block in np.array_split(order, max(1, len(order) // 256)):
+            width = int(sizes[block].max(initial=0))
+            tokens = np.full((len(block), width + 1), -1, np.int64)
+            for row, i in enumerate(block.tolist()):
+                tokens[row, : len(pieces[i])] = pieces[i]
+            self._in_step(tokens)
+            ends = (tokens >= 0).sum(1).tolist()
+            for i, row, end in zip(block.tolist(), tokens.tolist(), ends):
+                found[i] = row[:end]
+        return found
 
-_NEVER = (-1, -1)
+    def _in_step(self, tokens: np.ndarray) -> None:
+        """Merge every row of ``tokens``, padded with -1, as far as it goes."""
+        near = self.pairs.ranks(tokens[:, :-1], tokens[:, 1:])
+        rows, width = np.arange(len(tokens)), tokens.shape[1]
+        columns = np.arange(width)
+        while width > 1 and len(rows):
+            part = near[rows]
+            at = part.argmin(1)
+            rank = part[np.arange(len(rows)), at]
+            open_ = rank < _NONE
+            rows, at, rank = rows[open_], at[open_], rank[open_]
+            if not len(rows):
+                break
+            # Drop the right half of each pair, and what was known of it.
+            source = np.minimum(columns + (columns > at[:, None]), width - 1)
+            moved = np.take_along_axis(tokens[rows], source, 1)
+            moved[:, -1] = -1
+            one = np.arange(len(rows))
+            moved[one, at] = self.made_array[rank]
+            known = np.take_along_axis(near[rows], np.minimum(source[:, :-1], width - 2), 1)
+            known[:, -1] = _NONE
+            known[one, at] = self.pairs.ranks(moved[one, at], moved[one, np.minimum(at + 1, width - 1)])
+            left = at > 0
+            one, before = one[left], at[left] - 1
+            known[one, before] = self.pairs.ranks(moved[one, before], moved[one, before + 1])
+            tokens[rows], near[rows] = moved, known
+
+
+_NONE = 1 << 60
+
+
+class PairTable:
+    """Ranks of pairs of ids, looked up for whole arrays: open addressing in one array."""
+
+    def __init__(self, ranks: dict[tuple[int, int], int]):
+        self.bits = max(4, (8 * len(ranks)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits, np.int64)
+        keys = np.array([a << 32 | b for a, b in ranks], np.int64)
+        values = np.fromiter(ranks.values(), np.int64, len(ranks))
+        slots = self._slots(keys)
+        while len(keys):
+            free = self.keys[slots] < 0
+            target, first = np.unique(slots[free], return_index=True)
+            taken = np.flatnonzero(free)[first]
+            self.keys[target], self.values[target] = keys[taken], values[taken]
+            left = np.ones(len(keys), bool)
+            left[taken] = False
+            keys, values, slots = keys[left], values[left], (slots[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; no rank where it is none, or either is padding."""
+        keys = ((left << 32) | right).ravel()
+        result = np.full(keys.shape, _NONE, np.int64)
+        open_ = np.flatnonzero((left.ravel() >= 0) & (right.ravel() >= 0))
+        slots = self._slots(keys[open_])
+        while len(open_):
+            held = self.keys[slots]
+            same = held == keys[open_]
+            result[open_[same]] = self.values[slots[same]]
+            go_on = ~same & (held >= 0)
+            open_, slots = open_[go_on], (slots[go_on] + 1) & ((1 << self.bits) - 1)
+        return result.reshape(left.shape)
 
 
 @cache
@@ -132,15 +211,17 @@ def byte_letters() -> list[str]:
 class PieceTransducer:
     """Tokens of one piece, emitted as soon as they are stable."""
 
-    def __init__(self, merges: Merges, window: int | None = None):
+    def __init__(self, vocabulary: "Vocabulary", window: int | None = None):
         # One symbol more than the lookahead: only the last one of a piece has its own form.
-        self.merges, self.held = merges, merges.lookahead + 1
+        self.inner, self.last = vocabulary.inner, vocabulary.last
+        self.merges = merges = vocabulary.merges
+        self.held = merges.lookahead + 1
         self.window = max(window or 0, 4 * self.held, self.held + merges.longest + 1)
         self.symbols: list[int] = []
         self.end: str | None = None  # its form is known when the next letter, or none, comes
 
     def feed(self, letters: str) -> list[int]:
-        found, inner = [], self.merges.inner
+        found, inner = [], self.inner
         for start in range(0, len(letters), self.window):
             part = letters[start : start + self.window]
             if self.end is not None:
@@ -157,7 +238,7 @@ class PieceTransducer:
 
     def finish(self) -> list[int]:
         if self.end is not None:
-            self.symbols.append(self.merges.last[self.end])
+            self.symbols.append(self.last[self.end])
         found, _ = self.merges.run(self.symbols)
         self.symbols, self.end = [], None
         return found
@@ -198,12 +279,18 @@ class Vocabulary:
             or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in made["added_tokens"])
         ):
             raise ValueError(f"{path} is not a word-splitting byte-level vocabulary")
-        self.merges = Merges(model)
+        ids, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.merges = Merges(pairs, ids)
+        self.inner = {c: ids[c] for c in byte_letters()}
+        self.last = {c: ids[c + suffix] for c in byte_letters()}
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
         whole = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile("|".join(map(re.escape, whole))) if whole else None
         self.openings = {s[:n] for s in whole for n in range(1, len(s))}
-        self.table = SegmentTable(lambda words: [self.word(w.decode()) for w in words], cache_words)
+        self.table = SegmentTable(self._made, cache_words)
+        self.pieces: dict[str, list[int]] = {}  # as the table, a bounded cache
+        self.kept_pieces = cache_words // 2
 
     def normal(self, text: str) -> str:
         return self.library.normalizer.normalize_str(text)
@@ -212,15 +299,56 @@ class Vocabulary:
         """Pieces of normalised text, as byte letters, with their places."""
         return self.library.pre_tokenizer.pre_tokenize_str(plain)
 
-    def word(self, text: str) -> list[int]:
-        """The ids of a short word."""
-        found = []
-        machine = PieceTransducer(self.merges)
-        for letters, _ in self.split(self.normal(text)):
-            found += machine.feed(letters)
-            found += machine.finish()
+    def symbols(self, letters: str) -> list[int]:
+        return [*map(self.inner.__getitem__, letters[:-1]), self.last[letters[-1]]]
+
+    def _made(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of short words without blanks, which the table has not met."""
+        owners, pieces = [], []
+        for i, data in enumerate(words):
+            text = data.decode()
+            if text.isascii() and text.isprintable():
+                # Normal as it is, and split by the vocabulary's own rule for such characters.
+                split = _ASCII_PIECES.findall(text.lower())
+            else:
+                split = [letters for letters, _ in self.split(self.normal(text))]
+            pieces += split
+            owners += [i] * len(split)
+        # A piece of fewer symbols than the lookahead waits for its end in any case.
+        new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
+        if len(self.pieces) + len(new) > self.kept_pieces:
+            self.pieces, new = {}, list(dict.fromkeys(pieces))
+        self.pieces.update(zip(new, self.merges.run_many([self.symbols(p) for p in new])))
+        found: list[list[int]] = [[] for _ in words]
+        for i, piece in zip(owners, pieces):
+            found[i] += self.pieces[piece]
         return found
 
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids of each word, where each word begins) of text cut at blanks."""
+        units = np.frombuffer(data + b" ", np.uint8)
+        blank = _BLANKS[units]
+        starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+        ends = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
+        long = np.flatnonzero(ends - starts > CACHED_BYTES)
+        found, counts, first = [_NO_IDS], [np.zeros(0, np.int64)], 0
+        lowered = _LOWER[units]
+        for i in (*long.tolist(), len(starts)):
+            if i > first:
+                ids, each = self.table.ids(lowered, starts[first:i], ends[first:i])
+                found.append(ids)
+                counts.append(each)
+            if i < len(starts):
+                ids = Encoder(self).word(data[starts[i] : ends[i]].decode())
+                found.append(ids)
+                counts.append(np.array([len(ids)]))
+            first = i + 1
+        return np.concatenate(found), np.concatenate(counts), starts
+
+
+# The split of the vocabulary's own configuration, for lower-cased ASCII words.
+_ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
 
 class Encoder:
     """Feed a text in pieces of any size; ids come out as soon as they are stable."""
@@ -230,7 +358,7 @@ class Encoder:
         self.raw = ""  # may begin a special string
         self.text = ""  # no blank in it: a word that may go on
         self.plain = ""  # normalised, from the first piece that may change
-        self.machine = PieceTransducer(vocabulary.merges, window)
+        self.machine = PieceTransducer(vocabulary, window)
 
     def feed(self, text: str) -> np.ndarray:
         raw, pattern, found = self.raw + text, self.vocabulary.special_pattern, []
@@ -269,23 +397,11 @@ class Encoder:
         return np.concatenate(found) if found else _NO_IDS
 
     def _closed(self, text: str) -> np.ndarray:
-        data = text.encode()
-        units = np.frombuffer(data + b" ", np.uint8)
-        blank = _BLANKS[units]
-        starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
-        ends = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
-        if not len(starts):
-            return _NO_IDS
-        long = np.flatnonzero(ends - starts > CACHED_BYTES)
-        found, first = [], 0
-        lowered = _LOWER[units]
-        for i in (*long.tolist(), len(starts)):
-            if i > first:
-                found.append(self.vocabulary.table.ids(lowered, starts[first:i], ends[first:i])[0])
-            if i < len(starts):
-                found.append(self._open(data[starts[i] : ends[i]].decode(), True))
-            first = i + 1
-        return np.concatenate(found)
+        return self.vocabulary.words(text.encode())[0]
+
+    def word(self, text: str) -> np.ndarray:
+        """The ids of one long word, streamed."""
+        return self._open(text, True)
 
     def _open(self, text: str, ends: bool) -> np.ndarray:
         """One word, in parts: normalise and split as far as that is settled."""
@@ -361,7 +477,7 @@ class Decoder:
 
     def feed(self, ids: list[int]) -> str:
         table, n = self.token_bytes, len(self.token_bytes)
-        parts = [table[i] for i in ids if i is not None and 0 <= i < n and table[i] is not None]
+        parts = [table[i] for i in ids if 0 <= i < n and table[i] is not None]
         if not parts:
             return ""
         data = self.separator.join(parts)
@@ -446,10 +562,39 @@ def decode_ids(path: str, ids: list[int], feed: int = FEED) -> str:
     return "".join(parts) + machine.finish()
 
 
+def encode_texts(shared: Vocabulary, texts: list[str | None]) -> list[np.ndarray]:
+    """Many texts. Those without special strings are cut at blanks, and looked up together."""
+    found: list[np.ndarray] = [_NO_IDS] * len(texts)
+    held, size = [], 0
+
+    def look_up() -> None:
+        data = [texts[i].encode() for i in held]
+        ids, counts, starts = shared.words(b" ".join(data))
+        after = np.concatenate(([0], np.cumsum(counts)))
+        ends = np.cumsum([len(d) + 1 for d in data])
+        for i, part in zip(held, np.split(ids, after[np.searchsorted(starts, ends[:-1])])):
+            found[i] = part
+
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        if len(text) > JOINED or (shared.special_pattern and shared.special_pattern.search(text)):
+            found[i] = encode_text(shared, text)
+            continue
+        held.append(i)
+        size += len(text)
+        if size > JOINED:
+            look_up()
+            held, size = [], 0
+    if held:
+        look_up()
+    return found
+
+
 def _encoded(texts: pa.Array, path: str) -> pa.Array:
     shared, chunks = vocabulary(path), []
     for at in range(0, max(len(texts), 1), ROWS):
-        found = [encode_text(shared, t) for t in texts.slice(at, ROWS).to_pylist()]
+        found = encode_texts(shared, texts.slice(at, ROWS).to_pylist())
         bounds = np.concatenate(([0], np.cumsum([len(ids) for ids in found]))).astype(np.int32)
         flat = np.concatenate([_NO_IDS, *found]).astype(np.int32)
         chunks.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)))
@@ -459,8 +604,12 @@ def _encoded(texts: pa.Array, path: str) -> pa.Array:
 def _decoded(arrays: pa.Array, path: str) -> pa.Array:
     chunks = []
     for at in range(0, max(len(arrays), 1), ROWS):
-        part = arrays.slice(at, ROWS).to_pylist()
-        chunks.append(pa.array([decode_ids(path, ids or []) for ids in part], pa.string()))
+        part = arrays.slice(at, ROWS)
+        counts = np.nan_to_num(part.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        # Null ids become -1, which no vocabulary has.
+        flat = pc.fill_null(part.flatten(), -1).to_numpy(zero_copy_only=False)
+        rows = np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else []
+        chunks.append(pa.array([decode_ids(path, row.tolist()) for row in rows], pa.string()))
     return pa.concat_arrays(chunks)
 
 
