@@ -1,4 +1,4 @@
-"""Groups worked off in chunks give what one window gives, and start no job."""
+"""Groups worked off in ranges give what one window gives."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vintry.operators.history import overlapping_versions, scd2_build
-from vintry.operators.ordered import ordered_columns
+from vintry.operators.ordered import ordered_columns, range_bounds
 
 
 def rows_with_hot_group(seed, n=3000):
@@ -46,27 +47,34 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("width", [1, 4, 1000])
-def test_neighbours(table, width):
-    chunk = F.floor(F.col("day") / width)
+@pytest.mark.parametrize("sample_of", [1, 7, 1 << 14])
+def test_neighbours(table, sample_of):
     got = ordered_columns(
-        table, ["g"], ["day", "id"], chunk, {"before": "v"}, {"after": "v"}, {"top": "v"}
+        table, ["g"], ["day", "id"], {"before": "v"}, {"after": "v"}, {"top": "v"},
+        range_bounds(table, ["g"], ["day", "id"], sample_of),
     )
     assert got.columns == ["g", "day", "id", "v", "before", "after", "top"]
     found = [tuple(r) for r in got.collect()]
     assert len(found) == 3000 and set(found) == brute(rows_with_hot_group(1))
 
 
-def test_building_starts_no_job(spark, table):
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("building", "building")
-    ordered_columns(table, ["g"], ["day", "id"], F.col("day"), {"before": "v"}, {}, {"top": "v"})
-    states = table.select("g", "v", F.timestamp_seconds("day").alias("seen"), "id")
-    overlapping_versions(
-        scd2_build(states, "g", ["v"], "seen", "id"), "g", "id"
+def test_a_crowded_instant_is_spread(spark):
+    """One key with all rows on one day: ranges of about the wanted size, in order."""
+    rows = spark.range(40_000).select(
+        F.lit("k").alias("k"), F.lit(1).alias("day"), F.sha2(F.col("id").cast("string"), 256).alias("id"),
+        F.col("id").alias("v"),
     )
-    assert list(tracker.getJobIdsForGroup("building")) == []
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = range_bounds(rows, ["k"], ["day", "id"], 64)
+    bounds = found.first()["bounds"]
+    assert 30 <= len(bounds) <= 50 and bounds == sorted(bounds)
+    got = ordered_columns(rows, ["k"], ["day", "id"], {"before": "id"}, {}, {"top": "v"}, found)
+    assert range_bounds(rows, ["k"], ["day", "id"]) is None
+    window = Window.partitionBy("k").orderBy("day", "id")
+    wanted = rows.select(
+        "*", F.lag("id").over(window).alias("before"),
+        F.max("v").over(window.rowsBetween(Window.unboundedPreceding, -1)).alias("top"),
+    )
+    assert got.exceptAll(wanted).count() == 0 and got.count() == 40_000
 
 
 def events(seed):

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from vintry.contract import OPEN_END
 from vintry.functions.identity import digest, issuer_attribute_hash, issuer_key
-from vintry.operators.ordered import ordered_columns
-
-
-def _day(instant: str) -> Column:
-    return F.unix_date(F.col(instant).cast("date"))
+from vintry.operators.ordered import ordered_columns, range_bounds
 
 
 def scd2_build(
@@ -24,22 +20,21 @@ def scd2_build(
     """Full history from a log of observed attribute states.
 
     A version starts where the attributes differ from the state seen before, and ends
-    where the next version starts. ``tie`` orders states seen at one instant. Chunks are
-    days: a task sorts the states of one key seen on one day.
+    where the next version starts. ``tie`` orders states seen at one instant.
     """
     states = changes.select(
         key, *attributes, observed, tie,
         digest(**{c: F.col(c) for c in (key, *attributes)}).alias("attribute_hash"),
     )
+    bounds = range_bounds(states, [key], [observed, tie])
     seen = ordered_columns(
-        states, [key], [observed, tie], _day(observed),
-        previous={"previous_hash": "attribute_hash"},
+        states, [key], [observed, tie], {"previous_hash": "attribute_hash"}, bounds=bounds
     )
     starts = seen.where(
         F.col("previous_hash").isNull() | (F.col("previous_hash") != F.col("attribute_hash"))
     ).drop("previous_hash")
     versions = ordered_columns(
-        starts, [key], [observed, tie], _day(observed), following={"valid_to": observed}
+        starts, [key], [observed, tie], following={"valid_to": observed}, bounds=bounds
     )
     return versions.withColumnRenamed(observed, "valid_from").withColumn(
         "version_key", issuer_key(F.col("attribute_hash"), F.col("valid_from"))
@@ -106,8 +101,9 @@ def overlapping_versions(
     spans = history.select(key, version, "valid_from", end.alias("until")).where(
         F.col("valid_from") < F.col("until")
     )
+    order = ["valid_from", version]
     seen = ordered_columns(
-        spans, [key], ["valid_from", version], _day("valid_from"),
+        spans, [key], order, bounds=range_bounds(spans, [key], order),
         following={"next_from": "valid_from"},
         highest_before={"latest_until": "until"},
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintry.functions.measures import safe_ratio
-from vintry.operators.ordered import ordered_columns
+from vintry.operators.ordered import ordered_columns, range_bounds
 from vintry.operators.selection import annual_candidates
 
 _SERIES = ["cik", "concept", "unit", "period_start", "period_end"]
@@ -22,13 +22,10 @@ MAX_LIMIT = 200
 
 
 def changed_versions(candidates: DataFrame) -> DataFrame:
-    """Versions whose value differs from the version filed before.
-
-    Chunks are filing days: a task sorts what one series filed on one day.
-    """
+    """Versions whose value differs from the version filed before."""
     versions = ordered_columns(
-        candidates, _SERIES, _FILING_ORDER, F.unix_date("filed"),
-        previous={"previous_value": "value"},
+        candidates, _SERIES, _FILING_ORDER, {"previous_value": "value"},
+        bounds=range_bounds(candidates, _SERIES, _FILING_ORDER),
     )
     change = F.col("value") - F.col("previous_value")
     return (

@@ -97,12 +97,31 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def flatten_documents(documents: DataFrame, concepts=CONCEPTS) -> DataFrame:
+# Documents of more bytes are read in slices by several tasks.
+LARGE_DOCUMENT = 8_000_000
+SLICE = 4096  # observations
+
+
+def flatten_documents(documents: DataFrame, concepts=CONCEPTS, split_large: bool = False) -> DataFrame:
     """One row per observation in the reporting unit.
 
     What is not read further (an unknown concept, another unit, a broken shape) stays
     as one row with the number of observations it stands for in ``weight``.
+
+    With ``split_large`` the observations of large documents are dealt out in slices before
+    they are read one by one; the others stay where they are. The documents are then read
+    twice, so it is for loads that hold a large one.
     """
+    if not split_large:
+        return _observations(_by_unit(documents, concepts))
+    size = F.octet_length("content")
+    small = documents.where(size.isNull() | (size <= LARGE_DOCUMENT))
+    large = _by_unit(documents.where(size > LARGE_DOCUMENT), concepts)
+    return _observations(_by_unit(small, concepts)).unionByName(_observations(_dealt_out(large)))
+
+
+def _by_unit(documents: DataFrame, concepts) -> DataFrame:
+    """One row per document, concept and unit, with all its observations in ``values``."""
     parsed = parse_documents(documents)
     carried = [c for c in parsed.columns if c != "concepts"]
     readable = F.when(F.col("document_error").isNull(), F.col("concepts"))
@@ -111,28 +130,58 @@ def flatten_documents(documents: DataFrame, concepts=CONCEPTS) -> DataFrame:
     known = F.broadcast(concept_table(documents.sparkSession, concepts))
     mapped = by_concept.join(known, "concept", "left")
     is_known = F.col("metric").isNotNull()
-    read = F.try_variant_get("definition", "$.units", _UNITS)
-    # A unit that holds no array comes out as NULL.
-    units = F.when(is_known & ~F.exists(F.map_values(read), lambda held: held.isNull()), read)
-    broken = F.when(is_known & units.isNull(), F.lit("units_not_arrays"))
     carried = [*[c for c in carried if c != "document_error"],
                "concept", "metric", "kind", "alias_priority"]
-    by_unit = mapped.select(
+    # Through a one-row generator, so that the concept is walked once, not once per use.
+    walked = mapped.select(
+        *carried, "document_error",
+        F.explode(F.array(F.when(is_known, F.try_variant_get("definition", "$.units", _UNITS)))).alias("read"),
+    )
+    # A unit that holds no array comes out as NULL.
+    units = F.when(~F.exists(F.map_values("read"), lambda held: held.isNull()), F.col("read"))
+    broken = F.when(is_known & units.isNull(), F.lit("units_not_arrays"))
+    return walked.select(
         *carried, F.coalesce("document_error", broken).alias("document_error"),
-        F.explode_outer(units).alias("unit", "values"),
+        F.explode_outer(units).alias("unit", "values"), F.lit(0).alias("first"),
     )
+
+
+def _dealt_out(by_unit: DataFrame) -> DataFrame:
+    """Slices of the observations, over as many tasks as the cluster runs at once."""
+    starts = F.when(
+        F.col("unit") == REPORTING_UNIT,
+        F.sequence(F.lit(0), F.greatest(F.size("values") - 1, F.lit(0)), F.lit(SLICE)),
+    )
+    cut = F.transform(
+        F.coalesce(starts, F.array(F.lit(0))),
+        lambda at: F.struct(
+            F.when(starts.isNull(), F.col("values")).otherwise(F.slice("values", at + 1, F.lit(SLICE))).alias("values"),
+            at.alias("first"),
+        ),
+    )
+    others = [c for c in by_unit.columns if c not in ("values", "first")]
+    slices = by_unit.select(*others, F.inline(cut))
+    context = by_unit.sparkSession.sparkContext
+    return slices.repartition(4 * context.defaultParallelism, "concept", "unit", "first")
+
+
+def _observations(by_unit: DataFrame) -> DataFrame:
     reported = F.when(F.col("unit") == REPORTING_UNIT, F.col("values"))
+    others = [c for c in by_unit.columns if c not in ("values", "first")]
     rows = by_unit.select(
-        *carried, "document_error", "unit",
+        *others, "first",
         F.when(F.col("unit") != REPORTING_UNIT, F.size("values")).alias("unread"),
-        F.posexplode_outer(reported).alias("idx", "observation"),
+        F.posexplode_outer(reported).alias("at", "observation"),
     )
     weight = F.coalesce(
-        "unread", F.when(F.col("idx").isNotNull(), F.lit(1)),
+        "unread", F.when(F.col("at").isNotNull(), F.lit(1)),
         F.when(F.col("concept").isNotNull() & F.col("metric").isNull(), F.lit(1)),
         F.lit(0),
     )
-    return rows.withColumn("weight", weight.cast("bigint")).drop("unread")
+    return rows.select(
+        *others, (F.col("at") + F.col("first")).alias("idx"), "observation",
+        weight.cast("bigint").alias("weight"),
+    )
 
 
 def _iso_date(text: Column) -> Column:
@@ -232,9 +281,14 @@ def validate(rows: DataFrame, min_year: int = DEFAULT_MIN_YEAR) -> DataFrame:
     )
 
 
-def normalize(documents: DataFrame, concepts=CONCEPTS, min_year: int = DEFAULT_MIN_YEAR) -> DataFrame:
-    """Documents (cik, content, ...) to rows with a status: one narrow pass, no shuffle."""
-    return validate(flatten_documents(documents, concepts), min_year)
+def normalize(
+    documents: DataFrame, concepts=CONCEPTS, min_year: int = DEFAULT_MIN_YEAR, split_large: bool = False
+) -> DataFrame:
+    """Documents (cik, content, ...) to rows with a status: one narrow pass.
+
+    Nothing is shuffled but, with ``split_large``, the observations of large documents.
+    """
+    return validate(flatten_documents(documents, concepts, split_large), min_year)
 
 
 def accepted_facts(normalized: DataFrame, *carried: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,12 @@ from vintry.contract import CONCEPTS, DEFAULT_MIN_YEAR, MAX_REJECT_RATE, check_m
 from vintry.functions.identity import snapshot_identity
 from vintry.operators import validation as V
 from vintry.operators.history import scd2_merge
+from vintry.operators.membership import blocks_for, bloom_blocks, maybe_held
 from vintry.operators.versions import keep_first, load_ledger, unseen
+from vintry.plans.integrity import record_leaves
 from vintry.sources.config import issuer_config_checks
 from vintry.sources.documents import content_sha
-from vintry.sources.store import Store
+from vintry.sources.store import Generation, Piece, Store
 
 SHOWN = 20
 
@@ -34,7 +37,7 @@ class ContractError(ValueError):
 
 @dataclasses.dataclass(frozen=True)
 class Load:
-    """What one ingest added."""
+    """What one ingest added, and the generation that names it."""
 
     run_id: str
     observed: datetime
@@ -42,10 +45,11 @@ class Load:
     skipped: int
     inserted: int
     rejected: int
-    fact_runs: list[str]
-    history_run: str | None
+    generation: Generation
+    base: int  # number of the release it was compared with; 0 before the first
     unmatched: int = 0
-    base: str | None = None  # the release it was compared with
+    failed: int = 0
+    touched: tuple[int, ...] = ()  # issuer buckets with anything new
 
 
 def instant(moment: datetime) -> Column:
@@ -82,36 +86,120 @@ def _described(documents: DataFrame, issuers: DataFrame, min_year: int) -> DataF
 
 
 def pending_bodies(documents: DataFrame, pending: DataFrame) -> DataFrame:
-    """The documents that ``pending`` names, one each, with their bodies.
+    """The documents that ``pending`` names, with their bodies, as they were when hashed.
 
     Bodies come from this run's documents, never from the archive of all runs.
     """
     hashed = documents.select(
         "cik", "source_url", content_sha(F.col("content")).alias("source_sha"), "content"
     )
-    chosen = pending.select("cik", "source_url", "source_sha", "snapshot_id", "landed_at")
-    return hashed.join(chosen, ["cik", "source_url", "source_sha"], "inner")
+    chosen = pending.select("cik", "source_url", "source_sha")
+    bodies = hashed.join(chosen, ["cik", "source_url", "source_sha"], "left_semi")
+    return bodies.select("cik", "source_sha", F.col("content").cast("binary").alias("content"))
 
 
-def _archive(store: Store, spark: SparkSession, bodies: DataFrame, buckets: list[int]) -> None:
-    """Append bodies that are not archived yet; the digest is the key, never a file name."""
-    wanted = bodies.select("cik", "source_sha", F.col("content").cast("binary").alias("content"))
-    archived = store.bronze(spark, buckets).select("cik", "source_sha")
-    fresh = keep_first(wanted, ["cik", "source_sha"], F.lit(1)).join(
-        archived, ["cik", "source_sha"], "left_anti"
+def _archive(
+    store: Store, documents: DataFrame, sources: DataFrame, pending: DataFrame, buckets: list[int], run_id: str
+) -> DataFrame:
+    """Archive new bodies; return (cik, source_sha, content) of all pending documents.
+
+    Which bodies are new is told from digests alone, and the documents are read once more to
+    write those. The others, read again under another contract, are not archived twice.
+    """
+    spark, key = pending.sparkSession, ["cik", "source_sha"]
+    archived = store.bronze(spark, buckets).select(*key).distinct()
+    fresh = pending.join(archived, key, "left_anti")
+    folders = fresh.groupBy(store.bucket(F.col("cik")).alias("b")).agg(F.count("*").alias("n")).collect()
+    expected = sum(r["n"] for r in folders)
+    repeated = sources.groupBy(*key, "source_url").count().where("count > 1").limit(1).count()
+
+    def bodies(rows: DataFrame) -> DataFrame:
+        found = pending_bodies(documents, rows)
+        # Rows that repeat both name and body are one document.
+        return found.dropDuplicates(key) if repeated else found
+
+    parts = []
+    if expected:
+        store.archive(bodies(fresh), run_id)
+        own = store.archived_by(spark, run_id, [r["b"] for r in folders])
+        if own.count() != expected:
+            raise ContractError("documents changed while they were read")
+        record_leaves(store, own, run_id)
+        parts.append(own)
+    if pending.count() > expected:
+        parts.append(bodies(pending.join(archived, key, "left_semi")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def failed_documents(staged: DataFrame, max_reject_rate: float) -> DataFrame:
+    """(cik, snapshot_id, reason, detail) of documents that a gate turns away.
+
+    A document that fails several gates is listed once, with the first of them.
+    """
+    document = ("cik", "snapshot_id")
+    errors = V.document_errors(staged, *document).select(
+        *document, F.lit(1).alias("gate"), F.lit(ENVELOPE).alias("reason"), F.col("document_error").alias("detail")
+    )
+    nothing = V.accepted_nothing(staged, *document).select(
+        *document, F.lit(2).alias("gate"), F.lit(NOTHING).alias("reason"), F.col("rejected").cast("string").alias("detail")
     )
+    rates = V.reject_rates(staged, *document).where(F.col("reject_rate") > max_reject_rate).select(
+        *document, F.lit(3).alias("gate"), F.lit(TOO_MANY).alias("reason"), F.col("reject_rate").cast("string").alias("detail")
+    )
+    every = errors.unionByName(nothing).unionByName(rates)
+    first = F.min(F.struct("gate", "reason", "detail")).alias("first")
+    return every.groupBy(*document).agg(first).select(*document, "first.reason", "first.detail")
+
+
+ENVELOPE, NOTHING, TOO_MANY = "envelope", "nothing_accepted", "too_many_rejected"
+# What a stopped run says.
+_SAYS = {
+    ENVELOPE: "source envelope violates the contract",
+    NOTHING: "no supported fact survived the contract",
+    TOO_MANY: "too many rejected rows",
+}
+
+
+def fact_filters(store: Store, spark: SparkSession, pieces: list[Piece]) -> list[Piece]:
+    """Write a Bloom filter of the ids of each piece, beside it."""
+    if not pieces:
+        return []
+    run_id = pieces[0].run_id
+    sizes = spark.createDataFrame(
+        [(p.bucket, blocks_for(p.rows)) for p in pieces], "cik_bucket int, blocks int"
+    )
+    ids = store.written(spark, schemas.FACTS, "facts", f"run_id={run_id}").select("cik_bucket", "fact_id")
+    keys = ids.join(F.broadcast(sizes), "cik_bucket").withColumn("piece_run", F.lit(run_id))
+    blocks = bloom_blocks(keys, ["piece_run", "cik_bucket"], "fact_id", "blocks")
+    # A bucket's filter is a few rows: one file each.
     (
-        fresh.withColumn("cik_bucket", store.bucket(F.col("cik")))
-        .write.mode("append").option("compression", "zstd")
-        .partitionBy("cik_bucket").parquet(store.path("bronze"))
+        blocks.withColumn("piece_bucket", F.col("cik_bucket")).select(*schemas.FILTERS.names, "cik_bucket")
+        .repartition("cik_bucket").write.mode("overwrite").partitionBy("cik_bucket")
+        .parquet(store.path("filters", f"run_id={run_id}"))
     )
+    return [Piece("filters", p.bucket, run_id, blocks_for(p.rows)) for p in pieces]
+
 
+def suspected_pieces(
+    store: Store, spark: SparkSession, generation: Generation, incoming: DataFrame, buckets: list[int]
+) -> list[Piece]:
+    """Fact pieces that may hold some of the incoming ids, told from their filters.
 
-def verify_archive(store: Store, spark: SparkSession) -> DataFrame:
-    """Archived bodies whose content no longer matches the recorded digest."""
-    return store.bronze(spark).where(
-        F.sha2("content", 256) != F.col("source_sha")
-    ).select("cik", "source_sha")
+    ``incoming`` has ``cik_bucket`` and ``fact_id``.
+    """
+    pieces = generation.of("facts", buckets)
+    if not pieces:
+        return []
+    # One row per piece: bounded by buckets and compaction.
+    parts = spark.createDataFrame(
+        [(p.bucket, p.bucket, p.run_id, blocks_for(p.rows)) for p in pieces],
+        "cik_bucket int, piece_bucket int, piece_run string, blocks int",
+    )
+    filters = store.read_pieces(spark, generation.of("filters", buckets), schemas.FILTERS)
+    part = ["piece_run", "piece_bucket"]
+    maybe = maybe_held(incoming, parts, filters, ["cik_bucket"], part, "fact_id")
+    met = {(r["piece_run"], r["piece_bucket"]) for r in maybe.select(*part).distinct().collect()}
+    return [p for p in pieces if (p.run_id, p.bucket) in met]
 
 
 def ingest(
@@ -125,6 +213,7 @@ def ingest(
     min_year: int = DEFAULT_MIN_YEAR,
     max_reject_rate: float = MAX_REJECT_RATE,
     complete: bool = True,
+    stop_on_failure: bool = True,
 ) -> Load:
     """Validate and load every unseen (issuer, source, contract) snapshot.
 
@@ -132,7 +221,8 @@ def ingest(
     documents of one issuer are ordered. With ``complete`` every configured issuer must
     have a document; a stream of newly landed files passes False. Documents without a
     configured issuer, rejected rows and drift are written to quarantine, even where a
-    gate then stops the run. Gates look at each document by itself.
+    gate then stops the run. Gates look at each document by itself: one that fails stops the
+    run, or, without ``stop_on_failure``, becomes a dead letter while the others are loaded.
     """
     check_min_year(min_year)
     if not 0 <= max_reject_rate <= 1:
@@ -147,61 +237,68 @@ def ingest(
 
     described = kept(_described(documents, issuers, min_year), "sources")
     strays = described.where("unmatched is not null")
-    strays.select("source_url", "cik", "source_sha", F.col("unmatched").alias("reason")).write.mode(
-        "overwrite"
-    ).json(store.path("unmatched", f"run_id={run_id}"))
     unmatched = strays.count()
+    if unmatched:
+        strays.select("source_url", "cik", "source_sha", F.col("unmatched").alias("reason")).write.mode(
+            "overwrite"
+        ).json(store.path("unmatched", f"run_id={run_id}"))
     sources = described.where("unmatched is null").drop("unmatched")
     if complete:
         absent = issuers.select("cik").join(sources, "cik", "left_anti")
         _stop_if_any(absent, "issuers without a source document")
 
     release = store.current_release(spark)
-    known_runs = list(release["fact_runs"]) if release else []
-    history_run = release["history_run"] if release else None
-    base = release["run_id"] if release else None
+    generation = store.generation(spark, release)
+    base = release["number"] if release else 0
 
+    # At most store.buckets numbers: they prune the stored side to the touched folders.
+    folders = sources.groupBy(store.bucket(F.col("cik")).alias("b")).agg(F.count("*").alias("n")).collect()
+    seen, touched = sum(r["n"] for r in folders), [r["b"] for r in folders]
     landing = [F.col("landed_at").asc_nulls_first(), F.col("source_url")]
+    known = store.snapshots(spark, generation, touched)
     pending = kept(
-        keep_first(
-            unseen(sources, store.snapshots(spark, known_runs), "snapshot_id"),
-            "snapshot_id", *landing,
-        ),
-        "pending",
+        keep_first(unseen(sources, known, "snapshot_id"), "snapshot_id", *landing), "pending"
     )
     loaded = pending.count()
-    skipped = sources.count() - loaded
+    skipped = seen - loaded
     if loaded == 0:
-        return Load(run_id, observed, 0, skipped, 0, 0, known_runs, history_run, unmatched, base)
+        return Load(run_id, observed, 0, skipped, 0, 0, generation, base, unmatched)
 
-    # At most store.buckets numbers: they prune the stored side to the touched folders.
-    folders = pending.select(store.bucket(F.col("cik")).alias("b")).distinct().collect()
-    touched = [r["b"] for r in folders]
-    bodies = pending_bodies(documents, pending)
-    _archive(store, spark, bodies, touched)
-    bodies = bodies.drop("source_url")
+    bodies = _archive(store, documents, sources, pending, touched, run_id)
+    carried = pending.select("cik", "source_sha", "snapshot_id", "landed_at")
     # Every gate, count and table below reads this one table, and a lost executor
     # never sends the job back to parsing.
-    staged = kept(V.normalize(bodies, concepts, min_year), "observations")
+    staged = kept(
+        V.normalize(bodies.join(carried, ["cik", "source_sha"]), concepts, min_year), "observations"
+    )
 
     rejected = V.rejected_rows(staged, "snapshot_id")
     rejected.write.mode("overwrite").json(store.path("quarantine", f"run_id={run_id}"))
     V.drift_telemetry(staged).write.mode("overwrite").json(
         store.path("telemetry", f"run_id={run_id}")
     )
-    document = ("cik", "snapshot_id")
     found = {
         "snapshots_loaded": loaded, "snapshots_skipped": skipped,
         "documents_unmatched": unmatched, "rejected_rows": rejected.count(),
     }
-    _stop_if_any(
-        V.document_errors(staged, *document), "source envelope violates the contract", **found
-    )
-    _stop_if_any(
-        V.accepted_nothing(staged, *document), "no supported fact survived the contract", **found
-    )
-    over = V.reject_rates(staged, *document).where(F.col("reject_rate") > max_reject_rate)
-    _stop_if_any(over, "too many rejected rows", **found)
+    failing = kept(failed_documents(staged, max_reject_rate), "failed")
+    failed = failing.count()
+    if failed and stop_on_failure:
+        shown = failing.orderBy("reason", "cik", "snapshot_id").limit(SHOWN).collect()
+        says = "; ".join(f"{_SAYS[r['reason']]}: {r.asDict()}" for r in shown)
+        raise ContractError(says, **found)
+    if failed:
+        letters = failing.join(pending, ["cik", "snapshot_id"]).select(*schemas.DEAD_LETTERS.names)
+        letters.write.mode("overwrite").parquet(store.path("dead_letters", f"run_id={run_id}"))
+        bad = failing.select("snapshot_id")
+        staged = staged.join(bad, "snapshot_id", "left_anti")
+        rejected = rejected.join(bad, "snapshot_id", "left_anti")
+        pending = pending.join(bad, "snapshot_id", "left_anti")
+        loaded -= failed
+        if not loaded:
+            return Load(
+                run_id, observed, 0, skipped, 0, found["rejected_rows"], generation, base, unmatched, failed
+            )
 
     accepted = V.accepted_facts(staged, "source_sha", "snapshot_id", "landed_at")
     # A fact that several documents state belongs to the one that landed first.
@@ -211,14 +308,16 @@ def ingest(
     moment = instant(observed)
     location = store.bronze_folder(F.col("cik"))
     versions = unique.withColumn("first_observed", moment).withColumn("bronze_path", location)
-    store.write_bucketed(
-        versions.select(*schemas.FACTS.names), "silver", f"run_id={run_id}"
-    )
+    store.write_bucketed(versions.select(*schemas.FACTS.names), "silver", f"run_id={run_id}")
     silver = store.written(spark, schemas.FACTS, "silver", f"run_id={run_id}")
-    known = store.facts(spark, known_runs, touched)
-    fresh = unseen(silver.drop("cik_bucket"), known, "fact_id")
-    store.write_bucketed(fresh.select(*schemas.FACTS.names), "facts", f"run_id={run_id}")
-    inserted = store.written(spark, schemas.FACTS, "facts", f"run_id={run_id}")
+    # Stored ids are read only where a filter does not rule them out.
+    suspected = suspected_pieces(store, spark, generation, silver, touched)
+    fresh = silver.drop("cik_bucket")
+    if suspected:
+        fresh = unseen(fresh, store.read_pieces(spark, suspected, schemas.FACTS), "fact_id")
+    pieces = store.write_pieces(fresh.select(*schemas.FACTS.names), "facts", run_id)
+    grown = generation.added(pieces).added(fact_filters(store, spark, pieces))
+    inserted = store.read_pieces(spark, pieces, schemas.FACTS)
 
     # Distinct first: it hashes, where a maximum of text would sort every observation.
     # The document that landed last names the issuer.
@@ -228,9 +327,9 @@ def ingest(
     incoming = pending.join(names, "cik", "inner").select(
         "cik", "name", "ticker", "sector", "headquarters"
     ).distinct()
-    scd2_merge(store.history(spark, history_run), incoming, moment).write.mode(
-        "overwrite"
-    ).parquet(store.path("history", run_id))
+    # Copy on write: only the touched buckets of the history are read and written again.
+    merged = scd2_merge(store.history(spark, generation, touched), incoming, moment)
+    grown = grown.replaced("history", touched, store.write_pieces(merged, "history", run_id))
 
     # Each document's own facts, also those that another one stated before.
     stated_facts = accepted.select("snapshot_id", "fact_id").distinct()
@@ -253,8 +352,25 @@ def ingest(
         F.col("inserted").alias("inserted_count"),
         "unknown_concepts", "other_units", "old_periods",
     )
-    entries.write.mode("overwrite").parquet(store.path("snapshots", f"run_id={run_id}"))
+    ledger = store.write_pieces(entries, "snapshots", run_id)
+    grown = grown.added(ledger)
+    issuer_report(
+        sources, store.read_pieces(spark, ledger, schemas.SNAPSHOTS), failing
+    ).write.mode("overwrite").json(store.path("issuer_reports", f"run_id={run_id}"))
     return Load(
-        run_id, observed, loaded, skipped, inserted.count(), found["rejected_rows"],
-        [*known_runs, run_id], run_id, unmatched, base,
+        run_id, observed, loaded, skipped, sum(p.rows for p in pieces), found["rejected_rows"],
+        grown, base, unmatched, failed, tuple(sorted({p.bucket for p in ledger})),
+    )
+
+
+def issuer_report(sources: DataFrame, entries: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row per issuer of a run: documents by outcome, and rows of the loaded ones."""
+    seen = sources.groupBy("cik").agg(F.count("*").alias("seen"))
+    rows = entries.groupBy("cik").agg(
+        F.count("*").alias("snapshots_loaded"),
+        *[F.sum(c).alias(c) for c in ("accepted_count", "rejected_count", "inserted_count")],
     )
+    bad = failed.groupBy("cik").agg(F.count("*").alias("snapshots_failed"))
+    joined = seen.join(rows, "cik", "left").join(bad, "cik", "left").na.fill(0)
+    skipped = F.col("seen") - F.col("snapshots_loaded") - F.col("snapshots_failed")
+    return joined.withColumn("snapshots_skipped", skipped).select(*schemas.ISSUER_REPORT.names)

@@ -93,14 +93,43 @@ RELEASE_MANIFEST = T.StructType([
     required("published_at", INSTANT),
     required("filing_date_cutoff", DAY),
     required("model_version", TEXT),
-    required("fact_runs", T.ArrayType(TEXT)),
-    required("history_run", TEXT),
+    required("number", LONG),
+    required("generation", TEXT),
+    optional("latest_filed", DAY),
     required("total_facts", LONG),
     required("annual_periods", LONG),
     required("revisions", LONG),
     required("checks_passed", LONG),
     optional("incomplete_periods", LONG),
     optional("balance_warnings", LONG),
+    optional("rebuilt_buckets", LONG),
+])
+
+# One row per block of a Bloom filter over the fact ids of one piece.
+FILTERS = T.StructType([
+    required("piece_run", TEXT),
+    required("piece_bucket", INT),
+    required("block", LONG),
+    required("bits", T.BinaryType()),
+])
+
+DEAD_LETTERS = T.StructType([
+    required("cik", LONG),
+    required("snapshot_id", TEXT),
+    required("source_sha", TEXT),
+    optional("source_url", TEXT),
+    required("reason", TEXT),
+    optional("detail", TEXT),
+])
+
+ISSUER_REPORT = T.StructType([
+    required("cik", LONG),
+    required("snapshots_loaded", LONG),
+    required("snapshots_skipped", LONG),
+    required("snapshots_failed", LONG),
+    required("accepted_count", LONG),
+    required("rejected_count", LONG),
+    required("inserted_count", LONG),
 ])
 
 RUN_REPORT = T.StructType([
@@ -114,6 +143,7 @@ RUN_REPORT = T.StructType([
     optional("facts_inserted", LONG),
     optional("rejected_rows", LONG),
     optional("documents_unmatched", LONG),
+    optional("documents_failed", LONG),
     optional("model_version", TEXT),
     optional("published_run_id", TEXT),
     optional("elapsed_seconds", T.DoubleType()),

@@ -33,12 +33,14 @@ def ingest_landed(
     """Process everything that has landed since the last call, then stop.
 
     A batch that is replayed after a crash finds its snapshots in the ledger and its
-    facts in the store, so exactly-once does not rest on the sink.
+    facts in the store, so exactly-once does not rest on the sink. A document that fails a
+    gate becomes a dead letter, with its reason; the others of its batch are published.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
         run(
-            spark, store, batch, issuers, as_of=as_of, mode="stream", complete=False, **contract
+            spark, store, batch, issuers, as_of=as_of, mode="stream",
+            **{"complete": False, "stop_on_failure": False, **contract},
         )
 
     return (
