@@ -102,14 +102,39 @@ def planted(n, dim, pairs, seed):
     return hnsw._unit(x[0]), hnsw._unit(x[1])
 
 
-def test_audit_draws_until_links_were_met():
+def test_made_copies_widen_the_beam_where_the_table_has_no_links():
     a, b = planted(900, 16, 9, 5)
     graph = hnsw.Graph.build(b.astype(np.float32))
     # With the links at the bottom cut the search finds next to nothing.
     graph.bottom[:] = -1
-    found = hnsw._searched(graph, b, a, 0.98, 4, hnsw._drawn(len(a)))
+    beam = hnsw._own_beam(graph, b, 0.98, 4)
+    assert beam >= len(b)
+    found = hnsw._searched(graph, b, a, 0.98, beam, hnsw._drawn(len(a)))
     assert [f.tolist() for f in found] == [np.flatnonzero(b @ q >= 0.98).tolist() for q in a]
-    assert hnsw._own_beam(graph, b, 0.98, 4) >= len(b)
+
+
+def test_the_graph_answers_and_finds_what_links(monkeypatch):
+    """Recall over 4,096 vectors, where few queries are compared with all of them."""
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(3700, 32))
+    copies = base[draw.integers(0, len(base), 396)]
+    b = hnsw._unit(np.concatenate([base, copies + 0.1 * draw.normal(size=copies.shape)]))
+    a = hnsw._unit(b + 0.025 * draw.normal(size=b.shape))
+    graph = hnsw.Graph.build(b.astype(np.float32))
+    compared, truth_of = [], hnsw._truth
+
+    def counted(exact, queries, some, threshold):
+        compared.append(len(some))
+        return truth_of(exact, queries, some, threshold)
+
+    monkeypatch.setattr(hnsw, "_truth", counted)
+    beam = hnsw._own_beam(graph, b, 0.98, hnsw.BEAM)
+    found = list(hnsw._searched(graph, b, a, 0.98, beam, hnsw._drawn(len(a))))
+    true = a @ b.T >= 0.98
+    hits = sum(true[i, near].sum() for i, near in enumerate(found))
+    assert true.sum() > 3000 and hits >= 0.98 * true.sum()
+    assert all(true[i, near].all() for i, near in enumerate(found))
+    assert sum(compared) <= 2 * hnsw.AUDITED + hnsw.AUDITED_QUERIES and beam < 1000
 
 
 @pytest.mark.parametrize("own", [False, True])
@@ -269,7 +294,7 @@ def test_contract_names():
     import __spark_entry__ as contract
 
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert "pipeline" in contract.queries()
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
@@ -292,3 +317,11 @@ def test_queries_give_a_row_per_document(spark, name):
     found = contract.queries()[name](spark, SF_DIR)
     ids = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id")
     assert found.select("doc_id").exceptAll(ids).count() == ids.exceptAll(found.select("doc_id")).count() == 0
+
+
+def test_a_host_of_very_many_labels(spark):
+    rows = [(1, "http://" + "a." * 50_000 + "Example.org/en/12"), (2, "http://x.com" + "/de/" * 9000), (3, "http://" + "." * 90_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    rules = [("allow", "org", "/"), ("block", "example.org", "/en/1"), ("block", "com", "/de/")]
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_cascade.judge(pages, rules).collect()}
+    assert found == {1: ("example.org/en/1", "block"), 2: ("com/de/", "block"), 3: (None, "allow")}

@@ -4,12 +4,11 @@ Vectors are dealt to shards of bounded size within their label. Each shard build
 every vector is linked to diverse near ones, a few vectors also on higher, sparser levels.
 Every shard queries itself and every other shard of its label: down the levels, a beam
 search at the bottom, then from what lies within the threshold on to linked vectors within
-it, until no more turn up. Queries are audited against all vectors of the shard, in the
-order of a fixed draw, until ``AUDITED_LINKS`` true links to other vectors were met or all
-queries are through, whose links are then exact; while the search misses links of the
-audited, its beam is doubled. A beam as wide as the shard looks at every vector, so this
-ends. No search begins with a beam narrower than the one that finds a sample of the shard's
-own vectors.
+it, until no more turn up. The graph answers every query; searches are audited at a bounded
+cost. When a shard is built, near copies of some of its vectors are made, each just within
+the threshold, so that true links exist whatever the table holds, and the beam is doubled
+until all of these are found. Of the queries that another shard asks, ``AUDITED_QUERIES`` are
+compared with all vectors, and the beam is doubled while their links are missed.
 
 Found links are verified by cosine in double precision. A task takes a pair of shards in
 both directions; what one direction finds counts for both ends. It reports per vector how
@@ -46,8 +45,9 @@ SHARD_ROWS = 16_384
 LINKS = 12  # per vector and level; twice as many at the bottom
 BUILD_BEAM = 48
 BEAM = 24
-AUDITED = 64  # queries of a shard's own vectors, and those drawn at once
-AUDITED_LINKS = 256  # to be met by the queries drawn for a search
+AUDITED = 128  # vectors of a shard from which near copies are made
+AUDITED_NEAR = 0.05  # how far above the threshold these are, of what is left to 1
+AUDITED_QUERIES = 128  # real queries compared with a whole shard
 RECALL = 1.0  # of the audited links
 # The search takes in a little below the threshold, as it works in single precision.
 SLACK = 1e-4
@@ -253,33 +253,39 @@ def _passing(graph: Graph, single: np.ndarray, truth: dict[int, np.ndarray], thr
 
 
 def _own_beam(graph: Graph, exact: np.ndarray, threshold: float, beam: int) -> int:
-    """The beam that finds a sample of the shard's own vectors and what they link with."""
+    """The beam with which the shard's graph finds near copies made for this audit.
+
+    Some of its vectors are turned until their cosine with the original is just above the
+    threshold. The original is a true link by construction, also where the table has none.
+    """
     some = np.unique(np.linspace(0, len(exact) - 1, AUDITED).astype(int))
-    return _passing(graph, graph.vectors, _truth(exact, exact, some, threshold), threshold, beam)
+    draw = np.random.default_rng(len(exact)).normal(size=(len(some), exact.shape[1]))
+    across = draw - (draw * exact[some]).sum(1, keepdims=True) * exact[some]
+    length = np.sqrt((across * across).sum(1, keepdims=True))
+    near = threshold + AUDITED_NEAR * (1 - threshold)
+    turned = exact[some]
+    if exact.shape[1] > 1:
+        turned = near * exact[some] + np.sqrt(1 - near * near) * across / length
+    made = np.concatenate([turned, exact[some]])
+    truth = _truth(exact, made, np.arange(len(made)), threshold)
+    return _passing(graph, made.astype(np.float32), truth, threshold, beam)
 
 
 def _searched(
-    graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, beam: int, audit: np.ndarray, own: bool = False
+    graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, beam: int, audit: np.ndarray
 ) -> Iterator[np.ndarray]:
-    """Verified links of every query, with beams widened until the audited ones miss none.
+    """Verified links of every query, as the graph finds them.
 
-    ``audit`` is the order in which queries are drawn; ``own`` tells that every query is
-    itself one of the vectors, which says nothing of its links.
+    ``audit`` is the order in which queries are drawn. At most ``AUDITED_QUERIES`` of them are
+    compared with all vectors, to widen the beam while it misses links of theirs; their own
+    results come from the graph as well.
     """
     single = queries.astype(np.float32)
-    truth: dict[int, np.ndarray] = {}
-    for at in range(0, len(audit), AUDITED):
-        truth |= _truth(exact, queries, audit[at : at + AUDITED], threshold)
-        if sum(map(len, truth.values())) - own * len(truth) >= AUDITED_LINKS:
-            break
-    if len(truth) < len(queries):
-        beam = _passing(graph, single, truth, threshold, beam)
+    truth = _truth(exact, queries, audit[:AUDITED_QUERIES], threshold)
+    beam = _passing(graph, single, truth, threshold, beam)
     for i in range(len(queries)):
-        if i in truth:
-            yield truth[i]
-        else:
-            found = graph.within(single[i], threshold - SLACK, beam)
-            yield np.sort(found[exact[found] @ queries[i] >= threshold])
+        found = graph.within(single[i], threshold - SLACK, beam)
+        yield np.sort(found[exact[found] @ queries[i] >= threshold])
 
 
 def _drawn(n: int) -> np.ndarray:
@@ -292,7 +298,7 @@ def _linked(a: tuple[Graph, np.ndarray, int], b: tuple[Graph, np.ndarray, int],
     of bits for every vector of ``a``, a bit for every one of ``b``."""
     (graph_a, exact_a, beam_a), (graph_b, exact_b, beam_b) = a, b
     bits = np.zeros((len(exact_a), -(-len(exact_b) // 8)), np.uint8)
-    for i, near in enumerate(_searched(graph_b, exact_b, exact_a, threshold, beam_b, _drawn(len(exact_a)), own)):
+    for i, near in enumerate(_searched(graph_b, exact_b, exact_a, threshold, beam_b, _drawn(len(exact_a)))):
         np.bitwise_or.at(bits[i], near >> 3, (128 >> (near & 7)).astype(np.uint8))
         if own:
             bits[near, i >> 3] |= np.uint8(128 >> (i & 7))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintry.llm.columns import append, slices
+from vintry.llm.columns import append, map_batches, slices
 from vintry.llm.sampling import class_counts, held_out, labelled_sample, usable_labels
 
 # Training takes at most so many documents of each class.
@@ -212,16 +212,24 @@ def fit(
             ["buckets", "weights"],
         )
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["__id"])
+        learnt = [
+            (np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["weights"], np.float32), r["y"])
+            for r in rows
+        ]
+        seen = [sum(1 for r in learnt if r[2] == y) for y in (0, 1)]
+        if all(seen):
+            model = train(learnt, float(np.log(ones / zeros) - np.log(seen[1] / seen[0])))
+            yield pa.RecordBatch.from_pydict({"values": [model.values.tobytes()], "bias": [model.bias]})
+
     rows = append(sample, extracted, ["text"], "buckets binary, weights binary")
-    table = rows.select("__id", "y", "buckets", "weights").toArrow().sort_by("__id").to_pylist()
-    learnt = [
-        (np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["weights"], np.float32), r["y"])
-        for r in table
-    ]
-    seen = [sum(1 for r in learnt if r[2] == y) for y in (0, 1)]
-    if not all(seen):
+    # The sample is bounded, so one task learns from it; only the model comes to the driver.
+    one = rows.select("__id", "y", "buckets", "weights").repartition(1)
+    made = map_batches(one, learn, "values binary, bias double").first()
+    if made is None:
         return Model(np.zeros(_BUCKETS, np.float32), float(np.log((ones + 1) / (zeros + 1))))
-    return train(learnt, float(np.log(ones / zeros) - np.log(seen[1] / seen[0])))
+    return Model(np.frombuffer(made["values"], np.float32), made["bias"])
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:

@@ -41,7 +41,7 @@ from vintry.llm.columns import append
 from vintry.llm.segments import SegmentTable
 
 FEED = 1 << 16  # characters, or ids, given to a machine at once
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 CACHED_BYTES = 128  # longer words are streamed, never kept
 ROWS = 128  # unpacked at once
 JOINED = 1 << 18  # characters of whole texts looked up together

@@ -4,7 +4,7 @@ A rule is a host and a path; it fits its host and all subdomains where the URL's
 begins with the rule's. The keys a URL could be listed under are the pairs of a suffix of
 its host and a beginning of its path, of those path lengths that rules have. All keys of
 the corpus are known beforehand, so a cascade can tell listed keys from all others without
-an error: level 0 encodes the listed keys, level 1 the corpus keys that level 0 passes
+an error (suffixes of more labels than any rule's host has are no keys at all): level 0 encodes the listed keys, level 1 the corpus keys that level 0 passes
 wrongly, level 2 the listed keys that level 1 passes wrongly, and so on until none is left.
 Judging a URL is a few bit look-ups per key; no join and no shuffle.
 
@@ -48,13 +48,14 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return lowered, path
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Pairs of a host suffix and a path beginning, joined, in the order they win."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+def candidate_keys(host: Column, path: Column, lengths: list[int], labels: int) -> Column:
+    """Pairs of a host suffix and a path beginning, joined, in the order they win.
+
+    No rule's host has more than ``labels`` labels, so longer suffixes are listed nowhere.
+    """
+    held = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    counts = F.sequence(F.lit(1), F.least(held, F.lit(max(labels, 1))))
+    suffixes = F.transform(counts, lambda i: F.call_function("substring_index", host, F.lit("."), -i))
     starts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda n: F.struct(
         (-F.length(s) - n).alias("order"), (-F.length(s)).alias("host_order"),
@@ -151,11 +152,16 @@ class Cascade:
 
 def build(listed: DataFrame, universe: DataFrame) -> Cascade:
     """A cascade for the keys (columns ``a``, ``b``) of ``listed`` among ``universe``."""
-    inside = checkpointed(listed.select("a", "b").distinct())
-    n, total = inside.count(), universe.count()
+    # Listed or not is a flag of each key, put together where equal keys meet anyway.
+    flagged = checkpointed(
+        universe.select("a", "b", F.lit(0).alias("listed"))
+        .unionByName(listed.select("a", "b", F.lit(1).alias("listed")))
+        .groupBy("a", "b").agg(F.max("listed").alias("listed"))
+    )
+    inside, outside = (flagged.where(F.col("listed") == flag).select("a", "b") for flag in (1, 0))
+    n, total = flagged.agg(F.coalesce(F.sum("listed"), F.lit(0)), F.count("*")).first()
     if not n:
         return Cascade()
-    outside = universe.select("a", "b").join(inside, ["a", "b"], "left_anti")
     cascade = Cascade()
     rate = min(0.5, max(n / max(total, 1) / 2, 2.0**-30))
     keys, against = inside, outside
@@ -189,10 +195,11 @@ def judge(
     """
     spark = pages.sparkSession
     lengths = sorted({len(path) for _, _, path in rules})
+    labels = max((host.count(".") + 1 for _, host, _ in rules), default=1)
     host, path = split_url(named(url_column))
     kept = others(pages, ["host", "path", "rule", "verdict"])
     keyed = pages.select(*kept, host.alias("host"), path.alias("path"))
-    keyed = keyed.withColumn(_KEYS, candidate_keys(F.col("host"), F.col("path"), lengths))
+    keyed = keyed.withColumn(_KEYS, candidate_keys(F.col("host"), F.col("path"), lengths, labels))
     universe = checkpointed(
         keyed.select(F.explode(_KEYS).alias("key")).distinct().select(key_hashes(F.col("key")).alias("h")).select("h.*")
     )
