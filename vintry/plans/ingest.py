@@ -77,6 +77,7 @@ def _described(documents: DataFrame, issuers: DataFrame, min_year: int) -> DataF
         documents.select(
             "cik", "source_url", landed.cast("timestamp").alias("landed_at"),
             content_sha(F.col("content")).alias("source_sha"),
+            F.octet_length("content").alias("n_bytes"),
         )
         .join(known, "cik", "left")
         .withColumn("unmatched", unmatched)
@@ -252,8 +253,11 @@ def ingest(
     base = release["number"] if release else 0
 
     # At most store.buckets numbers: they prune the stored side to the touched folders.
-    folders = sources.groupBy(store.bucket(F.col("cik")).alias("b")).agg(F.count("*").alias("n")).collect()
+    folders = sources.groupBy(store.bucket(F.col("cik")).alias("b")).agg(
+        F.count("*").alias("n"), F.max("n_bytes").alias("longest")
+    ).collect()
     seen, touched = sum(r["n"] for r in folders), [r["b"] for r in folders]
+    large = max((r["longest"] or 0 for r in folders), default=0) > V.LARGE_DOCUMENT
     landing = [F.col("landed_at").asc_nulls_first(), F.col("source_url")]
     known = store.snapshots(spark, generation, touched)
     pending = kept(
@@ -268,9 +272,8 @@ def ingest(
     carried = pending.select("cik", "source_sha", "snapshot_id", "landed_at")
     # Every gate, count and table below reads this one table, and a lost executor
     # never sends the job back to parsing.
-    staged = kept(
-        V.normalize(bodies.join(carried, ["cik", "source_sha"]), concepts, min_year), "observations"
-    )
+    readable = bodies.join(carried, ["cik", "source_sha"])
+    staged = kept(V.normalize(readable, concepts, min_year, split_large=large), "observations")
 
     rejected = V.rejected_rows(staged, "snapshot_id")
     rejected.write.mode("overwrite").json(store.path("quarantine", f"run_id={run_id}"))
