@@ -7,7 +7,7 @@ import json
 from decimal import Decimal
 
 import pytest
-from conftest import REVENUE, held, observed
+from conftest import REPORT, REVENUE, YEAR, held, kiln_report, observed
 from pyspark.sql import functions as F
 
 from vintry.operators import validation as V
@@ -28,7 +28,7 @@ CASES = {
     1: (observed(True), "value_not_numeric"),
     2: (observed("100"), "value_not_numeric"),
     3: (observed(-1), "negative_value"),
-    4: (observed(2000, filed="2023-01-01"), "filed_before_end"),
+    4: (observed(2000, filed="2022-01-01"), "filed_before_end"),
     5: (observed(2000, accn="bad-id"), "bad_accession"),
     6: (observed(2000, end="2023-02-31"), "end_not_a_date"),
     7: (observed(2000, end="2023-2-3"), "end_not_a_date"),
@@ -44,9 +44,9 @@ CASES = {
     17: (7, "not_an_object"),
     18: ({}, "end_not_a_date"),
     19: (observed(2000, accn=None), "bad_accession"),
-    20: (observed(2000, accn="0000000001-24-000001\n"), "bad_accession"),
+    20: (observed(2000, accn=REPORT["accn"] + "\n"), "bad_accession"),
     # The first broken rule is reported.
-    21: (observed(True, filed="2023-01-01", accn="bad-id"), "filed_before_end"),
+    21: (observed(True, filed="2022-01-01", accn="bad-id"), "filed_before_end"),
     22: (observed(2000, fy="unknown", note="x"), None),
     23: (observed(0), None),
     24: (observed(999999999999999999999999999999), None),
@@ -56,17 +56,9 @@ CASES = {
 
 @pytest.fixture(scope="module")
 def judged(spark):
-    from conftest import AMOUNTS, FLOWS
-
-    def base():
-        return {"entityName": "Example", "facts": {"us-gaap": {
-            name: {"units": {"USD": [observed(v, **({"start": "2023-01-01"} if name in FLOWS else {}))]}}
-            for name, v in AMOUNTS.items()
-        }}}
-
     payloads = {}
     for cik, (row, _) in CASES.items():
-        payloads[cik] = base()
+        payloads[cik] = kiln_report(cik)
         payloads[cik]["facts"]["us-gaap"]["Assets"]["units"]["USD"] = [row]
     rows = run(spark, payloads).where(F.col("concept") == "Assets").collect()
     return {r["cik"]: r for r in rows}
@@ -100,7 +92,7 @@ def test_durations(spark, payload):
         return p
 
     rows = run(spark, {
-        1: with_start(start="2024-06-30"), 2: with_start(start=""), 3: with_start(start="2023-01-01"),
+        1: with_start(start="2024-06-30"), 2: with_start(start=""), 3: with_start(start=YEAR[0]),
         4: with_start(val=-5),
     }).where(F.col("concept") == REVENUE).collect()
     assert {r["cik"]: r["reason"] for r in rows} == {
@@ -114,20 +106,20 @@ def test_negative_income_is_valid(spark, payload):
 
 
 def test_equal_numbers_are_one_fact(spark, payload):
-    """2000, 2000.0, 2e3 and 2000.0000 share an identity; a changed value does not."""
+    """5130, 5130.0, 513e1 and 5130.0000 share an identity; a changed value does not."""
     text = json.dumps({**payload, "cik": 1})
-    row = json.dumps(observed(2000))
-    spelled = [row.replace('"val": 2000', f'"val": {v}') for v in ("2000", "2000.0", "2e3", "2000.0000", "2001")]
+    row = json.dumps(observed(5130))
+    spelled = [row.replace('"val": 5130', f'"val": {v}') for v in ("5130", "5130.0", "513e1", "5130.0000", "5131")]
     assert row in text
     accepted = V.accepted_facts(run(spark, {1: text.replace(row, ", ".join(spelled))}))
     assets = accepted.where(F.col("concept") == "Assets")
     kept = keep_first(assets, "fact_id", "idx").orderBy("idx").collect()
-    assert [(r["idx"], r["value"]) for r in kept] == [(0, 2000), (4, 2001)]
+    assert [(r["idx"], r["value"]) for r in kept] == [(0, 5130), (4, 5131)]
     assert duplicate_count(assets, "fact_id").first()["duplicates"] == 3
 
 
 def test_exact_decimals_survive_parquet(spark, payload, tmp_path):
-    text = json.dumps({**payload, "cik": 1}).replace('"val": 2000', '"val": 12345678901234567890123.125')
+    text = json.dumps({**payload, "cik": 1}).replace('"val": 5130', '"val": 12345678901234567890123.125')
     path = str(tmp_path / "facts")
     V.accepted_facts(run(spark, {1: text})).write.parquet(path)
     value = spark.read.parquet(path).where("concept = 'Assets'").first()["value"]

@@ -36,11 +36,11 @@ def plan_of(df):
 
 def test_fact_identity_is_the_digest_of_compact_json(spark):
     row = {
-        "accession": "0000000001-24-000001", "cik": 1, "concept": "Assets", "filed": "2024-02-15",
-        "form": "10-K/A", "period_end": "2023-12-31", "period_start": None, "unit": "USD", "value": "2000.5",
+        "accession": "0000417733-22-000019", "cik": 1, "concept": "Assets", "filed": "2022-09-02",
+        "form": "10-K/A", "period_end": "2022-06-30", "period_start": None, "unit": "USD", "value": "377.5",
     }
     df = spark.createDataFrame(
-        [(1, "Assets", "USD", None, date(2023, 12, 31), Decimal("2000.5000"), row["accession"], "10-K/A", date(2024, 2, 15))],
+        [(1, "Assets", "USD", None, date(2022, 6, 30), Decimal("377.5000"), row["accession"], "10-K/A", date(2022, 9, 2))],
         "cik bigint, concept string, unit string, period_start date, period_end date,"
         " value decimal(38,4), accession string, form string, filed date",
     )

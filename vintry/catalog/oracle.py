@@ -456,6 +456,24 @@ def oracle_sql() -> dict[str, str]:
             SELECT fact_id, filed, value, first_observed FROM facts WHERE filed < DATE '1997-01-01'
             UNION ALL SELECT fact_id, filed, value, first_observed + INTERVAL 400 DAYS FROM facts
             WHERE filed >= DATE '1997-01-01'""", "facts"),
+        "filtered_merge": sql("SELECT fact_id, cik FROM facts WHERE substr(fact_id, 1, 1) >= '8'", "facts"),
+        "affected_periods": sql(f"""
+            SELECT * FROM (WITH late AS (
+              SELECT DISTINCT cik, period_end FROM facts WHERE first_observed > {SEEN}),
+            periods AS (
+              SELECT cik, period_end FROM annual
+              UNION SELECT cik, period_end FROM canonical_seen WHERE metric = 'revenue'
+            )
+            SELECT cik, period_end FROM late
+            UNION SELECT late.cik, (SELECT min(p.period_end) FROM periods p
+              WHERE p.cik = late.cik AND p.period_end > late.period_end) AS next_end
+            FROM late WHERE next_end IS NOT NULL)""", "facts", "annual", "canonical_seen"),
+        "affected_trends": sql("SELECT * EXCLUDE (current_ratio_exact) FROM trends", "trends"),
+        "envelope_errors": """
+            SELECT DISTINCT o_custkey AS cik, l_orderkey AS r,
+              CASE l_orderkey % 11 WHEN 1 THEN 'cik_mismatch' WHEN 2 THEN 'missing_entity_name'
+                WHEN 3 THEN 'concepts_not_a_map' ELSE 'unreadable_json' END AS document_error
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 11 < 5""",
         "snapshot_skip": sql(
             "SELECT DISTINCT sha256(concat(cik, ':', y)) AS snapshot_id, cik, y FROM obs WHERE y >= 1996", "obs"),
         "load_ledger": sql("""

@@ -11,9 +11,11 @@ from vintry.catalog import standin as S
 from vintry.contract import MAX_REJECT_RATE, OBSERVATION_KEYS, concept_table
 from vintry.functions.identity import fact_identity, snapshot_identity
 from vintry.functions.text import decimal_text, exact_text
+from vintry.operators import affected as D
 from vintry.operators import annual as A
 from vintry.operators import checks as C
 from vintry.operators import exports, quality as Q
+from vintry.operators import membership as M
 from vintry.operators import validation as V
 from vintry.operators import versions as R
 from vintry.operators.history import dim_issuer, overlapping_versions, scd2_build
@@ -23,6 +25,7 @@ from vintry.operators.selection import (
     annual_candidates,
     candidate_extract,
     canonical_facts,
+    seen_by,
     selection_parity,
     with_filing_url,
 )
@@ -251,6 +254,22 @@ def telemetry(spark, d):
     return V.drift_telemetry(V.normalize(repeated, S.STANDIN_CONCEPTS, MIN_YEAR))
 
 
+@query
+def envelope_errors(spark, d):
+    """Documents whose order number makes their envelope break the contract in one way."""
+    kind, content = F.col("r") % 11, F.col("content")
+    broken = (
+        F.when(kind == 0, F.expr("left(content, length(content) - 1)"))
+        .when(kind == 1, F.replace("content", F.lit('{"cik":'), F.lit('{"cik":9')))
+        .when(kind == 2, F.regexp_replace("content", '"entityName":"[^"]*"', '"entityName":"  "'))
+        .when(kind == 3, F.replace("content", F.lit('"us-gaap"'), F.lit('"other"')))
+        .when(kind == 4, F.concat("content", F.lit(" x")))
+        .otherwise(content)
+    )
+    docs = S.documents(spark, d, faults=True).withColumn("content", broken)
+    return V.document_errors(V.normalize(docs, S.STANDIN_CONCEPTS, MIN_YEAR), "cik", "r")
+
+
 @query
 def empty_accept_gate(spark, d):
     """Every fourth issuer names its amounts differently, so none of them is accepted."""
@@ -434,6 +453,52 @@ def incremental_merge(spark, d):
     return R.merge_facts(existing, incoming)
 
 
+@query
+def filtered_merge(spark, d):
+    """New facts, told by Bloom filters of the stored ids; only what these pass is looked up."""
+    facts = S.facts(spark, d).select("fact_id", "cik", (F.col("cik") % 4).cast("int").alias("part"))
+    known = facts.where(F.substring("fact_id", 1, 1) < "8")
+    # Four parts: their sizes are four numbers.
+    sizes = known.groupBy("part").agg(F.count("*").alias("n")).collect()
+    parts = spark.createDataFrame([(r["part"], M.blocks_for(r["n"])) for r in sizes], "part int, blocks int")
+    filters = M.bloom_blocks(known.join(F.broadcast(parts), "part"), ["part"], "fact_id", "blocks")
+    maybe = M.maybe_held(facts, parts, filters, ["part"], ["part"], "fact_id").select("fact_id")
+    held = known.join(maybe, "fact_id", "left_semi")
+    return R.unseen(facts.drop("part"), held, "fact_id")
+
+
+def _touched(spark, d):
+    """Facts seen after the cutoff, and canonical and annual records from those seen before."""
+    facts = S.facts(spark, d)
+    before = facts.where(seen_by(facts, SEEN))
+    late = facts.where(~seen_by(facts, SEEN))
+    issuers = current_issuers(spark, d)
+    held = canonical_facts(before, S.AS_OF)
+    nobody = issuers.select("cik").limit(0)
+    return facts, issuers, held, D.touched_periods(late, held, nobody)
+
+
+@query
+def affected_periods(spark, d):
+    """What late facts reach: their periods, and the next annual period after each."""
+    facts, issuers, held, touched = _touched(spark, d)
+    before = A.annual_financials(held, issuers, S.AS_OF)
+    return D.with_following(touched, before, annual(spark, d))
+
+
+@query
+def affected_trends(spark, d):
+    """Trends of early facts, brought up to date for late ones: the result of a full build."""
+    facts, issuers, held, touched = _touched(spark, d)
+    before = A.annual_financials(held, issuers, S.AS_OF)
+    rebuilt = canonical_facts(facts.join(touched, D.PERIOD, "left_semi"), S.AS_OF)
+    now = D.swapped(before, A.annual_financials(rebuilt, issuers, S.AS_OF), touched)
+    reach = D.with_following(touched, before, now)
+    near = now.join(touched.select("cik").distinct(), "cik", "left_semi")
+    fresh = A.company_trends(near, issuers).join(reach, D.PERIOD, "left_semi")
+    return rounded(D.swapped(A.company_trends(before, issuers), fresh, reach), *RATIOS, "revenue_growth_yoy")
+
+
 @query
 def snapshot_skip(spark, d):
     taken = S.with_provenance(S.observations(spark, d)).select("snapshot_id", "cik", "y").distinct()
