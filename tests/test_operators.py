@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vintry.catalog import standin
 from vintry.functions.identity import fact_identity, issuer_attribute_hash, issuer_key
 from vintry.operators import annual as A
+from vintry.operators import exports
 from vintry.operators.exports import HISTORY_COLUMNS, history_lines, write_history
 from vintry.operators.history import dim_issuer
 from vintry.operators.lineage import fact_lineage
@@ -200,3 +201,18 @@ def test_typed_readers(spark, tmp_path):
     assert manifest.columns == schemas.SOURCE_MANIFEST.names and manifest.first()["file"] == "f"
     (tmp_path / "issuers.json").write_text('[{"cik": 1, "ticker": "T", "sector": "S", "headquarters": "H"}]')
     assert read_issuers(spark, f"{tmp_path}/issuers.json").first()["ticker"] == "T"
+
+
+def test_candidate_bundle_is_written_whole(spark, facts, tmp_path):
+    issuers = standin.issuer_history(spark, SF_DIR)
+    current = dim_issuer(issuers)
+    annual = A.annual_financials(canonical_facts(facts, standin.AS_OF), current, standin.AS_OF)
+    parts = exports.candidate_bundle(facts, current, annual, revisions_each=2)
+    exports.write_bundle(parts, str(tmp_path / "bundle"))
+    assert sorted(p.name for p in (tmp_path / "bundle").iterdir()) == sorted(parts)
+    for name in ("candidates", "revisions", "quality_summary"):
+        assert spark.read.json(str(tmp_path / "bundle" / name)).count() == parts[name].count() > 0
+    each = parts["revisions"].groupBy("cik").count().agg(F.max("count")).first()[0]
+    assert 1 <= each <= 2
+    with pytest.raises(ValueError):
+        exports.candidate_bundle(facts, current, annual, revisions_each=0)

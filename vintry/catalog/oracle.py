@@ -442,6 +442,14 @@ def oracle_sql() -> dict[str, str]:
         "filing_revisions": sql("SELECT * FROM revisions", "revisions"),
         "revisions_top_k": sql(
             "SELECT * FROM revisions ORDER BY filed DESC, period_end DESC, fact_id LIMIT 100", "revisions"),
+        "latest_revisions": sql(f"""
+            SELECT ticker, cik, fact_id, filed, period_end, value, previous_value FROM (
+              SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed DESC, period_end DESC, fact_id) AS place
+              FROM (SELECT *, lag(value) OVER (PARTITION BY cik, concept, unit, period_start, period_end
+                  ORDER BY filed, accession, first_observed, fact_id) AS previous_value
+                FROM facts WHERE {ANNUAL})
+              WHERE previous_value IS NOT NULL AND value <> previous_value)
+            JOIN (SELECT cik, ticker FROM dim) USING (cik) WHERE place <= 5""", "facts", "dim"),
         "dim_issuer": sql("SELECT * FROM dim", "dim"),
         "issuer_lookup": sql("SELECT * FROM dim WHERE ticker = upper('s7')", "dim"),
         "scd2_build": sql("SELECT * FROM event_versions", "event_states", "event_versions"),

@@ -408,6 +408,15 @@ def revisions_top_k(spark, d):
     return rounded(top, "relative_change")
 
 
+@query
+def latest_revisions(spark, d):
+    marts = Marts(spark, d)
+    parts = exports.candidate_bundle(marts.facts, marts.issuers, marts.annual, revisions_each=5)
+    return parts["revisions"].select(
+        "ticker", "cik", "fact_id", "filed", "period_end", "value", "previous_value"
+    )
+
+
 # Issuers and history
 
 

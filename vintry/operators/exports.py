@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from vintry.contract import METRICS
 from vintry.functions.text import csv_cell, exact_text
+from vintry.operators.quality import quality_report
+from vintry.operators.revisions import MAX_LIMIT, filing_revisions, latest_per_issuer
+from vintry.operators.selection import candidate_extract
 
 # Column order of an exported history.
 HISTORY_COLUMNS = (
@@ -65,13 +68,41 @@ def write_history(lines: DataFrame, path: str) -> None:
     )
 
 
+def candidate_bundle(
+    facts: DataFrame, issuers: DataFrame, annual: DataFrame, revisions_each: int = MAX_LIMIT
+) -> dict[str, DataFrame]:
+    """All parts of a self-contained extract: issuers, candidates, revisions, quality.
+
+    Revisions are the latest of each issuer, whatever the filing date; parts that belong to
+    an issuer carry its ticker.
+    """
+    tickers = issuers.select("cik", "ticker")
+    latest = latest_per_issuer(filing_revisions(facts, None), revisions_each)
+    parts = {
+        "companies": issuers,
+        "candidates": candidate_extract(facts).join(tickers, "cik"),
+        "revisions": latest.join(tickers, "cik"),
+    }
+    return parts | {f"quality_{name}": part for name, part in quality_report(annual, issuers).items()}
+
+
+def write_bundle(parts: dict[str, DataFrame], path: str) -> None:
+    """Each part as JSON lines, with amounts as exact text."""
+    for name, df in parts.items():
+        _with_exact_text(df).write.mode("errorifexists").json(f"{path}/{name}")
+
+
+def _with_exact_text(df: DataFrame) -> DataFrame:
+    return df.select(*[
+        exact_text(F.col(f.name)).alias(f.name)
+        if f.dataType.typeName() == "decimal" else F.col(f.name)
+        for f in df.schema.fields
+    ])
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Each table as ZSTD Parquet and as headered CSV with exact decimal text."""
     for name, df in tables.items():
         df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/parquet/{name}")
-        text = df.select(*[
-            exact_text(F.col(f.name)).alias(f.name)
-            if f.dataType.typeName() == "decimal" else F.col(f.name)
-            for f in df.schema.fields
-        ])
+        text = _with_exact_text(df)
         text.write.mode("errorifexists").option("header", True).csv(f"{path}/csv/{name}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintry.functions.measures import safe_ratio
@@ -54,3 +54,17 @@ def filing_revisions(
     return changed.orderBy(
         F.col("filed").desc(), F.col("period_end").desc(), F.col("fact_id").asc()
     ).limit(limit)
+
+
+def latest_per_issuer(revisions: DataFrame, limit: int = MAX_LIMIT) -> DataFrame:
+    """The ``limit`` latest revisions of every issuer, in the order of the limited report.
+
+    A rank filter: every map task keeps its own best rows of an issuer before the exchange.
+    """
+    if not 1 <= limit <= MAX_LIMIT:
+        raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
+    latest = Window.partitionBy("cik").orderBy(
+        F.col("filed").desc(), F.col("period_end").desc(), F.col("fact_id").asc()
+    )
+    ranked = revisions.withColumn("__rank", F.row_number().over(latest))
+    return ranked.where(F.col("__rank") <= limit).drop("__rank")
