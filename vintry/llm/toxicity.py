@@ -2,14 +2,14 @@
 
 A document is described by the densities of two lexicons (a fixed list of insults, and
 words and word beginnings that are much more frequent in toxic documents), how near second
-persons stand to their words, capitals, punctuation and disguised spellings. The learnt
-lexicon comes from one half of a bounded sample of labelled documents and the trees are
-boosted on the other, so that words which are frequent there by chance earn no weight.
-Where a class has too few documents to be halved, the lexicon stays empty and the trees are
-boosted on the whole sample, over the fixed features, with both classes of equal weight.
-Margins of folds left out in turn, each with both classes to learn from, calibrate the score
-by isotonic regression, with the classes weighted as in all labels. With a single document
-of a class there are no such folds, and the model's own margins calibrate it.
+persons stand to their words, capitals, punctuation and disguised spellings. A bounded
+sample of labelled documents is dealt into folds, each class evenly. A document of a fold
+is described by the lexicon learnt from the other folds, so that words which are frequent
+there by chance earn no weight; later documents by the lexicon learnt from all of them.
+The trees are boosted on the whole sample, with the classes weighted as in all labels, but
+a rare class as much as a few leaves need at least. Margins of folds left out in turn
+calibrate the score by isotonic regression. With a single document of a class no fold can
+be left out, and the model's own margins calibrate it.
 
 Defined results: null and empty texts have features of zero and a score like others; where
 no labelled document is found, or only documents of one class, all get the same score, by
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintry.llm.boosting import LEAST_WEIGHT, Boosted, Isotonic, boost, isotonic
@@ -34,11 +34,12 @@ from vintry.llm.sampling import class_counts, held_out, labelled_sample, usable_
 
 # Training takes at most so many documents of each class.
 PER_CLASS = 3000
-# A learnt term is in so many toxic documents at least, and that many times as often as in
-# others; the strongest are kept. A term is a word, or the beginning of words.
-LEARNT_LEAST = 0.02
+# A learnt term is in so many toxic documents and such a share of them at least, and that many
+# times as often as in others; the strongest are kept. A term is a word, or the beginning of words.
+LEARNT_ROWS = 3
+LEARNT_LEAST = 0.01
 LEARNT_RATIO = 20.0
-LEARNT_TERMS = 200
+LEARNT_TERMS = 400
 STEMS = (4, 5, 6)  # letters
 THRESHOLD = 0.7
 FOLDS = 5
@@ -172,47 +173,64 @@ class Model:
         return self.curve(self.trees.margins(x))
 
 
-def learnt_terms(sample: DataFrame, most: int = LEARNT_TERMS) -> Lexicon:
-    """Words and beginnings of words that mark the toxic documents of a sample."""
+def _lexicon(terms: list[str]) -> Lexicon:
+    stems = tuple((k, frozenset(t[:-1] for t in terms if t[-1] == "*" and len(t) == k + 1)) for k in STEMS)
+    return Lexicon(frozenset(t for t in terms if t[-1] != "*"), stems)
+
+
+def learnt_terms(sample: DataFrame, most: int = LEARNT_TERMS) -> list[Lexicon]:
+    """Words and beginnings of words that mark the toxic documents of a sample.
+
+    ``sample`` holds (fold, y, text). Entry k is learnt without fold k, the last one from
+    all folds. All are counted in one pass.
+    """
+    sizes = {(r["fold"], r["y"]): r["n"] for r in sample.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+
+    def without(k: int, y: int) -> int:
+        return sum(n for (fold, label), n in sizes.items() if fold != k and label == y)
+
+    learnable = [k for k in range(FOLDS + 1) if without(k, 0) and without(k, 1)]
+    if not learnable:
+        return [Lexicon()] * (FOLDS + 1)
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
     longer = [F.transform(F.filter("w", lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
-    terms = sample.select("y", found.alias("w")).select(
-        "y", F.explode(F.array_distinct(F.concat("w", *longer))).alias("term")
+    terms = sample.select("fold", "y", found.alias("w")).select(
+        "fold", "y", F.explode(F.array_distinct(F.concat("w", *longer))).alias("term")
+    )
+    counts = [F.count_if((F.col("y") == y) & (F.col("fold") != k)).alias(f"in{y}_{k}") for k in learnable for y in (0, 1)]
+    rates = terms.groupBy("term").agg(*counts).where(F.col(f"in1_{learnable[-1]}") >= LEARNT_ROWS)
+    each = [
+        F.struct(
+            F.lit(k).alias("fold"), F.col(f"in1_{k}").alias("rows"),
+            (F.col(f"in1_{k}") / without(k, 1)).alias("share"),
+            ((F.col(f"in0_{k}") + 0.5) / without(k, 0)).alias("other"),
+        )
+        for k in learnable
+    ]
+    ratio = F.col("share") / F.col("other")
+    marked = rates.select("term", F.explode(F.array(*each)).alias("r")).select("term", "r.*").where(
+        (F.col("rows") >= LEARNT_ROWS) & (F.col("share") >= LEARNT_LEAST) & (ratio >= LEARNT_RATIO)
     )
-    rates = terms.groupBy("term").agg(F.sum("y").alias("in1"), F.sum(1 - F.col("y")).alias("in0"))
-    totals = sample.agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros")).first()
-    if not totals["ones"] or not totals["zeros"]:
-        return Lexicon()
-    share = F.col("in1") / totals["ones"]
-    ratio = share / ((F.col("in0") + 0.5) / totals["zeros"])
-    marked = rates.where((F.col("in1") >= 3) & (share >= LEARNT_LEAST) & (ratio >= LEARNT_RATIO))
-    top = marked.orderBy((share * F.log(ratio)).desc(), "term").limit(most).select("term").collect()
-    every = [row["term"] for row in top]
-    stems = tuple((k, frozenset(t[:-1] for t in every if t[-1] == "*" and len(t) == k + 1)) for k in STEMS)
-    return Lexicon(frozenset(t for t in every if t[-1] != "*"), stems)
+    strongest = Window.partitionBy("fold").orderBy((F.col("share") * F.log(ratio)).desc(), "term")
+    top = marked.withColumn("rank", F.row_number().over(strongest)).where(F.col("rank") <= most).collect()
+    return [_lexicon([r["term"] for r in top if r["fold"] == k]) for k in range(FOLDS + 1)]
 
 
-def _described(texts: pa.Array, learnt: Lexicon) -> pa.Array:
-    x = pa.array([describe(t, learnt) for t in texts.to_pylist()], pa.list_(pa.float64()))
-    return pa.StructArray.from_arrays([x], ["x"])
+def _described(texts: pa.Array, folds: pa.Array, lexicons: list[Lexicon]) -> pa.Array:
+    described = [describe(t.as_py(), lexicons[k]) for t, k in zip(texts, folds.to_pylist())]
+    return pa.StructArray.from_arrays([pa.array(described, pa.list_(pa.float64()))], ["x"])
 
 
-def train(x: np.ndarray, y: np.ndarray, weights: np.ndarray, learnt: Lexicon) -> Model:
+def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, weights: np.ndarray, learnt: Lexicon) -> Model:
     """Trees and their calibration, at any number of rows of two classes."""
-    rows = int(min((y == 0).sum(), (y == 1).sum()))
-    fold = np.arange(len(y)) % FOLDS
-    grown = weights
-    if rows < 2 * FOLDS:
-        # Leaves have a least weight, so the trees see classes of equal weight; the curve
-        # does not. The few rows of a class are dealt evenly to the folds.
-        grown = np.empty(len(y))
-        for label in (0, 1):
-            own = y == label
-            grown[own] = max(len(y) / 2, 4 * LEAST_WEIGHT) / own.sum()
-            fold[own] = np.arange(own.sum()) % min(FOLDS, max(rows, 2))
+    # Leaves have a least weight, which a rare class must reach; the curve sees true weights.
+    grown = weights.copy()
+    for label in (0, 1):
+        own = y == label
+        grown[own] *= max(1.0, 4 * LEAST_WEIGHT / weights[own].sum())
     whole = boost(x, y, grown)
     margins = whole.margins(x)
-    if rows > 1:
+    if min((y == 0).sum(), (y == 1).sum()) > 1:
         for k in np.unique(fold):
             margins[fold == k] = boost(x[fold != k], y[fold != k], grown[fold != k]).margins(x[fold == k])
     return Model(learnt, whole, isotonic(margins, y, weights))
@@ -231,14 +249,13 @@ def fit(
     zeros, ones = class_counts(usable)
     sample = labelled_sample(docs, usable, per_class, id_column, text_column).persist()
     try:
-        first_half = F.pmod(F.xxhash64(F.lit("half"), "__id"), F.lit(2)) == 0
-        second = [F.count(F.when((F.col("y") == y) & ~first_half, 1)) for y in (0, 1)]
-        halved = min(sample.agg(*second).first()) >= 2 * FOLDS
-        learnt = learnt_terms(sample.where(first_half)) if halved else Lexicon()
-        rest = sample.where(~first_half) if halved else sample
-        rows = append(rest, lambda texts: _described(texts, learnt), ["text"], "x array<double>")
-        # Ordered by a hash, so that the folds are alike.
-        table = rows.select(F.xxhash64("__id").alias("h"), "__id", "y", "x").toArrow()
+        # Ordered by a hash, so that the folds are alike. The ids of a sample are bounded.
+        dealt = Window.partitionBy("y").orderBy(F.xxhash64("__id"), "__id")
+        folds = sample.select("__id", F.pmod(F.row_number().over(dealt) - 1, F.lit(FOLDS)).alias("fold"))
+        folded = sample.join(F.broadcast(folds), "__id")
+        lexicons = learnt_terms(folded)
+        rows = append(folded, lambda texts, fold: _described(texts, fold, lexicons), ["text", "fold"], "x array<double>")
+        table = rows.select(F.xxhash64("__id").alias("h"), "__id", "y", "fold", "x").toArrow()
     finally:
         sample.unpersist()
     table = table.sort_by([("h", "ascending"), ("__id", "ascending")])
@@ -247,7 +264,7 @@ def fit(
         return Model(Lexicon(), None, None, (ones + 1) / (zeros + ones + 2))
     x = np.array(table["x"].to_pylist())
     weights = np.where(y == 1, ones / (y == 1).sum(), zeros / (y == 0).sum())
-    return train(x, y, weights / weights.mean(), learnt)
+    return train(x, y, table["fold"].to_numpy(), weights / weights.mean(), lexicons[-1])
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
