@@ -9,10 +9,57 @@ gather them in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from vintry.llm.columns import checkpointed
+from vintry.llm.columns import checkpointed, map_batches
+
+# Links that a task holds before it reduces them to stars.
+HELD = 1 << 17
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node it reaches) that connect just what the links connect."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        # Roots of linked nodes hang below the smaller one; then every node finds its root.
+        low, high = np.minimum(root[left], root[right]), np.maximum(root[left], root[right])
+        open_ = low < high
+        if not open_.any():
+            break
+        np.minimum.at(root, high[open_], low[open_])
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[other], nodes[root[other]]
+
+
+def spanning(links: DataFrame, left: str, right: str) -> DataFrame:
+    """Links that connect what ``links`` (two bigint columns) connect, a forest per block.
+
+    A task reduces its links ``HELD`` at a time, so a group in which all link to all leaves
+    a task as one link per member, not as all its pairs, and nothing is shuffled for it.
+    """
+
+    def reduced(batches):
+        a = b = np.empty(0, np.int64)
+        for batch in batches:
+            a = np.concatenate([a, batch.column(0).to_numpy(zero_copy_only=False)])
+            b = np.concatenate([b, batch.column(1).to_numpy(zero_copy_only=False)])
+            if len(a) >= HELD:
+                a, b = stars(a, b)
+                if len(a) >= HELD // 2:  # a forest by itself: more links would not shrink it
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    a = b = np.empty(0, np.int64)
+        a, b = stars(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    both = F.col(left).isNotNull() & F.col(right).isNotNull()
+    return map_batches(links.where(both).select(left, right), reduced, "a bigint, b bigint")
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -62,6 +109,6 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         edges, state = _counted(_round(edges))
         if state == before:
             break
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    rays = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return stars.unionByName(centres)
+    return rays.unionByName(centres)

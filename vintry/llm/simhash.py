@@ -9,7 +9,9 @@ partition is not probed). Which thresholds cost least depends on how crowded the
 fingerprint's values are; dynamic programming picks them from estimated candidate counts.
 Candidates found are verified on the whole fingerprint.
 
-Equal fingerprints are one node from the start, so groups of copies cost one probe.
+Equal fingerprints are one node from the start, so groups of copies cost one probe. Of the
+links a task verifies it passes on a forest, so a group of slightly edited copies does not
+become all its pairs.
 
 Defined results: a text without words, or null, has fingerprint zero, which links like
 any other; repeated rows share a fingerprint; a null id takes part in linking but never
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintry.llm.columns import append, checkpointed, map_batches, named, others, stored
-from vintry.llm.components import components
+from vintry.llm.components import components, spanning
 
 BITS = 64
 SHINGLE = 4
@@ -238,10 +240,11 @@ def allocate(costs: list[np.ndarray], distance: int = DISTANCE) -> np.ndarray:
     return thresholds
 
 
-def near_pairs(distinct: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
-    """All pairs (a < b) of the distinct ``fp`` values within ``distance`` bits.
+def near_links(distinct: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+    """All links (a, b) of the distinct ``fp`` values within ``distance`` bits, each found
+    from one or both ends, once per partition that finds it.
 
-    ``parts``, the number of partitions, is chosen by cost; it never changes the pairs.
+    ``parts``, the number of partitions, is chosen by cost; it never changes what links.
     """
     n, both = joint_counts(distinct)
     groups = correlated_groups(n, both, parts or partition_count(n, distance))
@@ -284,11 +287,14 @@ def near_pairs(distinct: DataFrame, distance: int = DISTANCE, parts: int | None
     queries = map_batches(distinct.select("fp"), probes, "key bigint, a bigint")
     index = map_batches(distinct.select("fp"), indexed, "key bigint, b bigint")
     within = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    # Either of two fingerprints may be the one that finds the other.
-    return (
-        queries.join(index, "key").where((F.col("a") != F.col("b")) & within)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+    return queries.join(index, "key").where((F.col("a") != F.col("b")) & within).select("a", "b")
+
+
+def near_pairs(distinct: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+    """All pairs (a < b) of the distinct ``fp`` values within ``distance`` bits, once each."""
+    return near_links(distinct, distance, parts).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    ).distinct()
 
 
 def grouped(ids: DataFrame, id_column: str, distance: int = DISTANCE) -> DataFrame:
@@ -296,7 +302,9 @@ def grouped(ids: DataFrame, id_column: str, distance: int = DISTANCE) -> DataFra
     nodes = checkpointed(
         ids.groupBy(F.col(_FP).alias("fp")).agg(F.min(named(id_column)).alias("lowest"))
     )
-    reached = components(near_pairs(nodes.select("fp"), distance), "a", "b")
+    # Of a key's verified links only a forest leaves the task that found them.
+    links = spanning(near_links(nodes.select("fp"), distance), "a", "b")
+    reached = components(links, "a", "b")
     members = nodes.join(reached, F.col("fp") == F.col("node"), "left").select(
         "fp", "lowest", F.coalesce("component", "fp").alias("component")
     )
