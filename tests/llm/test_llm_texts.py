@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -16,6 +18,7 @@ from tokenizers import Tokenizer
 
 from vintry.llm import byte_bpe, licenses, packing, quality, simhash, token_counts, toxicity
 from vintry.llm.boosting import boost, isotonic
+from vintry.llm import components as component_module
 from vintry.llm.components import components
 from vintry.llm.segments import piece_ranges
 from vintry.llm.words import word_encoder
@@ -239,6 +242,33 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(df.where("a < 0"), "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 17, 8])
+def test_spanning_keeps_what_is_connected(spark, monkeypatch, held):
+    monkeypatch.setattr(component_module, "HELD", held)
+    draw = random.Random(12)
+    links = [(a, b) for g in range(3) for a in range(60 * g, 60 * g + 40) for b in range(60 * g, a)]
+    links += [(draw.randrange(1000, 1400), draw.randrange(1000, 1400)) for _ in range(150)]
+    links += [(i, i + 1) for i in range(5000, 5100)] + [(-(2**63), 2**63 - 1), (9, 9)]
+    draw.shuffle(links)
+    df = spark.createDataFrame(links + [(None, 5), (6, None)], "a bigint, b bigint").coalesce(1)
+    forest = [tuple(r) for r in component_module.spanning(df, "a", "b").collect()]
+
+    def groups(pairs):
+        root = {x: x for p in links for x in p}
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for a, b in pairs:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        return {x: top(x) for x in root}
+
+    assert groups(forest) == groups(links)
+    if held > 8:  # one block: one link per node that is not its component's smallest
+        assert len(forest) == sum(x != r for x, r in groups(links).items())
+    assert component_module.spanning(df.where("a < -9 and b < 0"), "a", "b").count() == 0
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     """Clean, junk and toxic documents of invented words, and their labels."""
@@ -321,6 +351,59 @@ def test_boosting_and_calibration():
     assert curve(np.array([0, 2.0, 2.5, 3.0, 9])).tolist() == [0, 0.5, 0.5, 0.5, 1]
 
 
+def test_learnt_terms_by_brute_force(spark):
+    draw = random.Random(11)
+    words = ["".join(draw.choice(["an", "the", "ro", "li", "tem", "Ü"]) for _ in range(draw.randint(1, 4))) for _ in range(60)]
+    rows = []
+    for i in range(400):
+        y = int(i % 4 == 0)
+        text = [draw.choice(words) for _ in range(draw.randint(0, 30))]
+        if y and i % 3:
+            text += draw.choices(["grumpig", "grumpox", "blarg", "snerf"], k=2)
+        rows.append((i % toxicity.FOLDS if i < 390 else 0, y, " ".join(text) if i % 50 else None))
+    sample = spark.createDataFrame(rows, "fold int, y int, text string")
+
+    def terms(text):
+        found = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        return found | {w[:k] + "*" for w in found for k in toxicity.STEMS if len(w) > k}
+
+    def expected(left_out, most):
+        used = [(y, terms(t)) for k, y, t in rows if k != left_out]
+        n1 = sum(y for y, _ in used)
+        n0, scores = len(used) - n1, []
+        for term in set().union(*(ts for _, ts in used)):
+            in1 = sum(y for y, ts in used if term in ts)
+            in0 = sum(1 - y for y, ts in used if term in ts)
+            share, other = in1 / n1, (in0 + 0.5) / n0
+            if in1 >= toxicity.LEARNT_ROWS and share >= toxicity.LEARNT_LEAST and share / other >= toxicity.LEARNT_RATIO:
+                scores.append((-share * math.log(share / other), term))
+        return {term for _, term in sorted(scores)[:most]}
+
+    def held(lexicon):
+        return set(lexicon.words) | {s + "*" for _, stems in lexicon.stems for s in stems}
+
+    every = toxicity.learnt_terms(sample)
+    assert len(every) == toxicity.FOLDS + 1 and {"blarg", "snerf", "grump*"} <= held(every[-1])
+    assert [held(x) for x in every] == [expected(k, toxicity.LEARNT_TERMS) for k in range(toxicity.FOLDS + 1)]
+    assert len(held(toxicity.learnt_terms(sample, 3)[-1])) == 3
+    # One class only, and a class that one fold alone holds.
+    assert toxicity.learnt_terms(sample.where("y = 0")) == [toxicity.Lexicon()] * (toxicity.FOLDS + 1)
+    alone = toxicity.learnt_terms(sample.where("y = 0 or fold = 2"))
+    assert held(alone[2]) == set() and "blarg" in held(alone[-1])
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01"])
+def test_toxicity_on_the_given_tables(spark, sf_dir):
+    """Of held-out toxic documents with an insult all are found, and no clean one."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.scored(docs, labels).where("held_out").join(labels, "doc_id").where("toxic is not null")
+    rows = rows.select("toxic", "predicted", "text").collect()
+    insulted = [set(toxicity._WORD.findall((r["text"] or "").lower())) & toxicity.INSULTS for r in rows]
+    assert sum(map(bool, insulted)) >= 10
+    assert np.mean([r["predicted"] for r, i in zip(rows, insulted) if i and r["toxic"]]) >= 0.9
+    assert np.mean([r["predicted"] for r in rows if not r["toxic"]]) <= 0.02
+
+
 def test_toxicity_features():
     x = dict(zip(toxicity.FEATURES, toxicity.describe("You are 1d10t and i d i o t, STUPID!", toxicity.Lexicon())))
     assert x["insults"] > 0 and x["hidden"] > 0 and x["disguised"] > 0 and x["shouted"] > 0 and x["calls"] > 0
