@@ -103,15 +103,23 @@ def with_provenance(obs: DataFrame) -> DataFrame:
     )
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations that were filed on or after their period end, with identity."""
+def accepted_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations that were filed on or after their period end, as far as facts need them."""
     valid = observations(spark, sf_dir).where(F.col("filed") >= F.col("period_end"))
-    identified = with_provenance(valid).withColumn("fact_id", fact_identity())
-    return identified.select(
+    return valid.select(*[c for c in FACT_COLUMNS if c != "fact_id"], "first_observed")
+
+
+def identified(accepted: DataFrame) -> DataFrame:
+    """Facts: accepted observations with provenance and identity, both made of their columns."""
+    return with_provenance(accepted).withColumn("fact_id", fact_identity()).select(
         *FACT_COLUMNS, "first_observed", "source_sha", "bronze_path", "snapshot_id"
     )
 
 
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(accepted_observations(spark, sf_dir))
+
+
 def issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issuer configuration: supplier, its nation as sector, its region as headquarters."""
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,3 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vintry-checkpoint-"))
     return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the checkpoint folder, for several readers.
+
+    Each reader takes only its own columns, and what made the rows runs once.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/vintry-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
