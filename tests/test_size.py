@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vintry.catalog import queries
 from vintry.catalog import standin as S
+from vintry.operators import membership as M
 
 
 @pytest.mark.parametrize("name", ["check_summary", "release_gauges"])
@@ -22,3 +23,20 @@ def test_packed_ids_keep_equality_and_order(spark):
     assert packed == {r["fact_id"] for r in S.facts(spark, SF_DIR).select("fact_id").collect()}
     chosen = {r[0] for r in marts.canonical.select(F.lower(F.hex("fact_id"))).collect()}
     assert chosen == {r["fact_id"] for r in queries.canonical(spark, SF_DIR).select("fact_id").collect()}
+
+
+def test_bloom_filters_send_hashes_not_bitmaps(spark):
+    """Bitmaps made before the rows are dealt by block are tasks times blocks of them."""
+    keys = spark.range(0, 4000, 1, 4).select(
+        F.lit(0).alias("part"), F.col("id").cast("string").alias("key"), F.lit(3).alias("blocks")
+    )
+    filters = M.bloom_blocks(keys.withColumn("part", (F.col("key") % 2).cast("int")), ["part"], "key", "blocks")
+    plan = filters._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert plan.rindex("SortAggregate") < plan.index("Exchange")
+    assert filters.count() == 6
+
+
+def test_filtered_merge_joins_the_observations_once(spark):
+    df = queries.queries()["filtered_merge"](spark, SF_DIR)
+    assert not [f for f in df.inputFiles() if "/lineitem" in f or "/orders" in f]

@@ -9,6 +9,7 @@ in twenty thousand, so what it lets through has to be looked up.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,20 +29,29 @@ def _block(key: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(key), blocks)
 
 
-def _bits(key: Column) -> Column:
+def _mixed(key: Column) -> Column:
+    """The hash that a key's bits are made of."""
+    return F.xxhash64(key, F.lit(1))
+
+
+def _bits(mixed: Column) -> list[Column]:
     """The key's bits in its block: two halves of one hash, stepped through."""
-    mixed = F.xxhash64(key, F.lit(1))
     low = mixed.bitwiseAND(F.lit(0x7FFFFFFF))
     step = F.shiftrightunsigned(mixed, 33).bitwiseOR(F.lit(1))
-    return F.array(*[F.pmod(low + step * i, F.lit(BLOCK_BITS)) for i in range(HASHES)])
+    return [F.pmod(low + step * i, F.lit(BLOCK_BITS)) for i in range(HASHES)]
 
 
 def bloom_blocks(keys: DataFrame, part: list[str], key: str, blocks: str) -> DataFrame:
-    """(part columns, block, bits) of one filter per part; ``blocks`` is a column of ``keys``."""
+    """(part columns, block, bits) of one filter per part; ``blocks`` is a column of ``keys``.
+
+    Hashes are dealt out by block before they become bits: every task would else send a whole
+    bitmap for each block it meets, which is nearly all of them.
+    """
     placed = keys.select(
-        *part, _block(F.col(key), F.col(blocks)).alias("block"), F.explode(_bits(F.col(key))).alias("bit")
-    )
-    return placed.groupBy(*part, "block").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
+        *part, _block(F.col(key), F.col(blocks)).alias("block"), _mixed(F.col(key)).alias("mixed")
+    ).repartition(*part, "block")
+    bits = placed.select(*part, "block", F.explode(F.array(*_bits(F.col("mixed")))).alias("bit"))
+    return bits.groupBy(*part, "block").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
 
 
 def _holds(bits: Column, bit: Column) -> Column:
@@ -60,4 +70,5 @@ def maybe_held(
         "block", _block(F.col(key), F.col("blocks"))
     )
     met = asked.join(filters, [*part, "block"])
-    return met.where(F.forall(_bits(F.col(key)), lambda bit: _holds(F.col("bits"), bit))).select(*part, key)
+    held = [_holds(F.col("bits"), bit) for bit in _bits(_mixed(F.col(key)))]
+    return met.where(reduce(Column.__and__, held)).select(*part, key)
