@@ -40,3 +40,8 @@ def test_bloom_filters_send_hashes_not_bitmaps(spark):
 def test_filtered_merge_joins_the_observations_once(spark):
     df = queries.queries()["filtered_merge"](spark, SF_DIR)
     assert not [f for f in df.inputFiles() if "/lineitem" in f or "/orders" in f]
+
+
+def test_documents_are_grouped_once(spark):
+    plan = S.documents(spark, SF_DIR, faults=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1

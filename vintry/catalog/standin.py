@@ -230,30 +230,34 @@ def documents(spark: SparkSession, sf_dir: str, faults: bool) -> DataFrame:
     )
     concept = F.when(f == 15, F.concat(lit("Other"), c("concept"))).otherwise(c("concept"))
     unit = F.when(lit(faults) & (c("l_tax") >= 0.07), lit("EUR")).otherwise(lit("USD"))
-    lines = obs.select(
-        "o_custkey", "l_orderkey", F.struct("idx", "cik", "value", "filed").alias("place"), concept.alias("concept"), unit.alias("unit"),
-        observation.alias("observation"),
+    # One grouping by the order, by whose key the lines are dealt already. Its lines are sorted
+    # by concept, unit and place; each then writes what opens and closes before it.
+    line = F.struct(
+        F.concat(lit('"'), concept, lit('":{"units":{')).alias("concept"),
+        F.concat(lit('"'), unit, lit('":[')).alias("unit"),
+        F.struct("idx", "cik", "value", "filed").alias("place"), observation.alias("observation"),
     )
+    lines = obs.select("o_custkey", "l_orderkey", F.when(concept.isNotNull(), line).alias("line"))
+    per_order = lines.groupBy("o_custkey", "l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+
+    def written(o: Column, i: Column) -> Column:
+        before = F.get("lines", i - 1)
+        same_concept = before["concept"] == o["concept"]
+        opening = (
+            F.when(same_concept & (before["unit"] == o["unit"]), lit(","))
+            .when(same_concept, F.concat(lit("],"), o["unit"]))
+            .when(i > 0, F.concat(lit("]}},"), o["concept"], o["unit"]))
+            .otherwise(F.concat(o["concept"], o["unit"]))
+        )
+        return F.concat(opening, o["observation"])
 
-    def listed(part: Column) -> Column:
-        return F.array_join(F.array_sort(F.collect_list(part)), ",")
-
-    # All grouped within the order, by whose key the lines are dealt already.
-    document = ["o_custkey", "l_orderkey"]
-    in_order = F.array_sort(F.collect_list(F.struct("place", "observation")))
-    per_unit = lines.groupBy(*document, "concept", "unit").agg(
-        F.array_join(F.transform(in_order, lambda o: o["observation"]), ",").alias("held")
-    )
-    per_concept = per_unit.groupBy(*document, "concept").agg(
-        listed(F.concat(lit('"'), "unit", lit('":['), "held", lit("]"))).alias("units")
-    )
-    per_order = per_concept.groupBy(*document).agg(
-        listed(F.concat(lit('"'), "concept", lit('":{"units":{'), "units", lit("}}"))).alias("concepts")
+    concepts = F.concat(
+        F.array_join(F.transform("lines", written), ""), F.when(F.size("lines") > 0, lit("]}}")).otherwise(lit(""))
     )
     customer = c("o_custkey").cast("string")
     content = F.concat(
         lit('{"cik":'), customer, lit(',"entityName":"Customer '), customer,
-        lit('","facts":{"us-gaap":{'), "concepts", lit("}}}"),
+        lit('","facts":{"us-gaap":{'), concepts, lit("}}}"),
     )
     return per_order.select(
         c("o_custkey").alias("cik"), c("l_orderkey").alias("r"), content.alias("content")
