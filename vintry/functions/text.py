@@ -15,7 +15,7 @@ def decimal_text(value: Column) -> Column:
     The cast to four decimals guarantees a fraction part, hence "100" never loses
     its own zeros.
     """
-    return F.regexp_replace(value.cast(MONEY).cast("string"), r"\.?0+$", "")
+    return F.rtrim(F.rtrim(value.cast(MONEY).cast("string"), F.lit("0")), F.lit("."))
 
 
 def exact_text(value: Column) -> Column:

@@ -46,10 +46,10 @@ _DOCUMENT = """
 """
 # Read for known concepts only: what an unknown one looks like is nobody's business.
 _UNITS = "map<string, array<variant>>"
-# One cast reads all fields of an observation. Types that a rule asks for stay VARIANT.
+# One cast reads all fields that a rule asks for; types it asks for stay VARIANT. The hints are
+# read by themselves, so that only those who use them pay for them.
 _OBSERVATION = """
-    struct<val: variant, `end`: string, start: string, filed: string, accn: string,
-      form: variant, fy: variant, fp: string>
+    struct<val: variant, `end`: string, start: string, filed: string, accn: string, form: variant>
 """
 
 
@@ -137,8 +137,9 @@ def _by_unit(documents: DataFrame, concepts) -> DataFrame:
         *carried, "document_error",
         F.explode(F.array(F.when(is_known, F.try_variant_get("definition", "$.units", _UNITS)))).alias("read"),
     )
-    # A unit that holds no array comes out as NULL.
-    units = F.when(~F.exists(F.map_values("read"), lambda held: held.isNull()), F.col("read"))
+    # A unit that holds no array comes out as NULL, and makes the flattened whole NULL. Without a
+    # lambda function all steps from here to the verdict are compiled as one.
+    units = F.when(F.flatten(F.map_values("read")).isNotNull(), F.col("read"))
     broken = F.when(is_known & units.isNull(), F.lit("units_not_arrays"))
     return walked.select(
         *carried, F.coalesce("document_error", broken).alias("document_error"),
@@ -193,8 +194,7 @@ def _iso_date(text: Column) -> Column:
 def _typed(rows: DataFrame) -> DataFrame:
     """Read the fields of each observation; a bad field becomes NULL, never an error."""
     read = rows.withColumn("o", _scalar(F.col("observation"), _OBSERVATION))
-    o = {name: F.col(f"o.{name}") for name in
-         ("val", "end", "start", "filed", "accn", "form", "fy", "fp")}
+    o = {name: F.col(f"o.{name}") for name in ("val", "end", "start", "filed", "accn", "form")}
     number = _scalar(o["val"], "string")
     return read.withColumns({
         "is_object": F.col("o").isNotNull(),
@@ -207,8 +207,8 @@ def _typed(rows: DataFrame) -> DataFrame:
         "number_text": number,
         # 30 integer digits and 8 decimals: NULL exactly where the amount is out of range.
         "amount": number.try_cast("decimal(38,8)"),
-        "fiscal_year_hint": _scalar(o["fy"], "int"),
-        "fiscal_period_hint": o["fp"],
+        "fiscal_year_hint": F.try_variant_get("observation", "$.fy", "int"),
+        "fiscal_period_hint": F.try_variant_get("observation", "$.fp", "string"),
     }).drop("o")
 
 
@@ -219,13 +219,16 @@ def _fits_four_decimals() -> Column:
     whole = amount % F.lit(Decimal("0.0001")) == 0
     plain = ~text.rlike(r"\.\d{5,}\z")
     exact_double = amount.cast("double") == text.try_cast("double")
-    return whole & F.when(F.col("number_type") == "DOUBLE", exact_double).otherwise(plain)
+    fits = whole & F.when(F.col("number_type") == "DOUBLE", exact_double).otherwise(plain)
+    # An integer has no decimals, and a remainder of big decimals is dear.
+    return F.when(F.col("number_type") == "BIGINT", F.lit(True)).otherwise(fits)
 
 
 def _reject_reason() -> Column:
     end, filed, start = F.col("period_end"), F.col("filed"), F.col("period_start")
     duration = F.col("kind") == DURATION
-    numeric = F.col("number_type").rlike(r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z")
+    kind_of_number = F.col("number_type")
+    numeric = kind_of_number.isin("BIGINT", "DOUBLE", "FLOAT") | kind_of_number.startswith("DECIMAL")
     signed = ~F.col("metric").isin(*NONNEGATIVE_METRICS)
     return _first_failure(
         ("not_an_object", F.col("is_object")),
